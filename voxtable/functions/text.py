@@ -7,7 +7,6 @@ their Unicode meaning whatever flags the regex engine runs with.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -111,7 +110,7 @@ def term_counts(terms: Column) -> Column:
             (F.coalesce(F.get(ss, k + 1), n + 1) - s).cast("bigint").alias("tf"),
         )))
 
-    return let(F.array_sort(terms), lambda ts: F.when(F.size(ts) > 0, runs(ts)).otherwise(empty))
+    return let(F.sort_array(terms), lambda ts: F.when(F.size(ts) > 0, runs(ts)).otherwise(empty))
 
 
 def whole_word(term: str) -> str:
@@ -253,10 +252,3 @@ def formatted_id(n, prefix: str = "R") -> Column:
 def percent_text(share, decimals: int = 1) -> Column:
     return F.format_string(f"%.{decimals}f%%", _col(share) * 100)
 
-
-def ordered_choice(scores: list[tuple[Column, str]], default: str) -> Column:
-    """Label with the highest score, first in list order on ties; ``default`` when all are 0."""
-    best = F.greatest(*[s for s, _ in scores]) if len(scores) > 1 else scores[0][0]
-    pick = reduce(lambda acc, sl: acc.when(sl[0] == best, F.lit(sl[1])), scores[1:],
-                  F.when(scores[0][0] == best, F.lit(scores[0][1])))
-    return F.when(best > 0, pick).otherwise(F.lit(default))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from voxtable.operators.rows import exploded
 from voxtable.sources.scratch import literal_table
 
 
@@ -101,5 +102,5 @@ def term_coverage(matched: DataFrame) -> DataFrame:
 
 def top_matching_terms(matched: DataFrame) -> DataFrame:
     """Distinct terms per review, then reviews per (query, term)."""
-    return matched.select("query_id", F.explode(F.array_distinct("matching_terms")).alias("term")) \
+    return exploded(matched, ["query_id"], F.array_distinct("matching_terms"), "term") \
         .groupBy("query_id", "term").agg(F.count("*").alias("n_reviews"))

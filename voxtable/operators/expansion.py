@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
+from voxtable.operators.rows import exploded
 from voxtable.sources.scratch import literal_table
 
 
@@ -141,7 +142,7 @@ def _with_verdicts(expanded: DataFrame, cache: DataFrame, terms: str) -> DataFra
 def undecided_terms(expanded: DataFrame, cache: DataFrame, terms: str = "expanded_terms") -> DataFrame:
     """Work list: distinct terms that are neither query words nor in the cache."""
     words = tx.whitespace_words(F.lower("original_query"))
-    rows = expanded.select("query_id", words.alias("query_words"), F.explode(terms).alias("raw"))
+    rows = exploded(expanded, ["query_id", words.alias("query_words")], terms, "raw")
     open_terms = rows.where(~F.array_contains("query_words", F.lower("raw"))).select("query_id", F.lower("raw").alias("term"))
     return open_terms.join(cache, "term", "left_anti").distinct()
 

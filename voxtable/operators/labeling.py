@@ -7,37 +7,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxtable.functions import lexicons as lex, text as tx
 
 
-def keyword_hits(text, lexicon: dict) -> dict[str, Column]:
-    return {topic: tx.contained_keywords(text, words) for topic, words in lexicon.items()}
+def label_struct(text, lexicon: dict) -> Column:
+    """STRUCT<topic_label, confidence_score, matched_keywords> of one text.
+
+    Substring hits per topic; the first topic in lexicon order wins ties, no hit gives 'other'.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    empty = F.array().cast("array<string>")
+
+    def pick(hits: Column) -> Column:
+        sizes = F.transform(hits, lambda h: F.size(h))
+        return tx.let(sizes, lambda ns: tx.let(F.array_position(ns, F.array_max(ns)).cast("int") - 1, lambda i: F.struct(
+            F.when(F.get(ns, i) > 0, F.get(tx.string_array(lexicon), i)).otherwise("other").alias("topic_label"),
+            F.get(ns, i).alias("confidence_score"),
+            F.when(F.get(ns, i) > 0, F.get(hits, i)).otherwise(empty).alias("matched_keywords"))))
+
+    def hits_of(lowered: Column) -> Column:
+        found = [F.filter(tx.string_array(words), lambda k: F.contains(lowered, k)) for words in lexicon.values()]
+        return tx.let(F.array(*found), pick)
+
+    return tx.let(F.lower(c), hits_of)
 
 
 def auto_label(reviews: DataFrame, lexicon: dict | None = None) -> DataFrame:
-    """Adds topic_label, confidence_score and matched_keywords.
+    """Adds topic_label, confidence_score and matched_keywords; no shuffle.
 
-    Substring hits per topic; the first topic in lexicon order wins ties. One projection, no
-    shuffle.
+    The three columns come out of one generated row, so a later filter on one of them does
+    not make the text be searched again.
     """
-    lexicon = lexicon or lex.LABEL_TOPIC_KEYWORDS
-    hits = {f"_hits_{t}": c for t, c in keyword_hits("text", lexicon).items()}
-    staged = reviews.withColumns(hits)
-    scores = [(F.size(f"_hits_{t}"), t) for t in lexicon]
-    labeled = staged.withColumn("topic_label", tx.ordered_choice(scores, "other"))
-    empty = F.array().cast("array<string>")
-    matched = empty
-    for t in reversed(list(lexicon)):
-        matched = F.when(F.col("topic_label") == t, F.col(f"_hits_{t}")).otherwise(matched)
-    labeled = labeled.withColumn("matched_keywords", F.coalesce(matched, empty))
-    labeled = labeled.withColumn("confidence_score", F.size("matched_keywords"))
-    return labeled.drop(*hits)
+    return reviews.select("*", F.inline(F.array(label_struct("text", lexicon or lex.LABEL_TOPIC_KEYWORDS))))
 
 
 def detect_topic(query, lexicon: dict | None = None) -> Column:
     """Topic of a query by substring hits of the short lexicon."""
-    lexicon = lexicon or lex.QUERY_TOPIC_KEYWORDS
-    lowered = F.lower(F.col(query) if isinstance(query, str) else query)
-    scores = [(sum((F.contains(lowered, F.lit(k)).cast("int") for k in words), F.lit(0)), t)
-              for t, words in lexicon.items()]
-    return tx.ordered_choice(scores, "other")
+    return label_struct(query, lexicon or lex.QUERY_TOPIC_KEYWORDS)["topic_label"]
 
 
 def coerce_topic(topic) -> Column:
@@ -73,7 +76,6 @@ def label_distribution(labeled: DataFrame, label: str = "topic_label") -> DataFr
 
 def dominant_label(labeled: DataFrame, label: str = "topic_label") -> DataFrame:
     counts = labeled.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    best = F.max(F.struct(F.col("n"), F.col(label)))
     first = F.min_by(F.col(label), F.struct(-F.col("n"), F.col(label)))
     return counts.agg(first.alias("dominant_label"), F.max("n").alias("n"),
                       (F.max("n") / F.sum("n")).alias("share"))

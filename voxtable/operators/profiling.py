@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
+from voxtable.operators.rows import exploded, numbered
 from voxtable.sources.scratch import literal_table
 
 
@@ -41,13 +42,13 @@ def top_counts(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def vocabulary(reviews: DataFrame, top_n: int = 50, stop_words=lex.VOCABULARY_STOP_WORDS) -> DataFrame:
-    words = reviews.select(F.explode(tx.without(tx.latin_words("text", 3), stop_words)).alias("word"))
+    words = exploded(reviews, [], tx.without(tx.latin_words("text", 3), stop_words), "word")
     return top_counts(words, "word", top_n)
 
 
 def common_phrases(reviews: DataFrame, n: int = 2, top_k: int = 30, stop_words=lex.PHRASE_STOP_WORDS) -> DataFrame:
     """Contiguous phrases of one review; a phrase made only of stop words does not count."""
-    phrases = reviews.select(F.explode(tx.ngrams(tx.latin_words("text"), n)).alias("phrase"))
+    phrases = exploded(reviews, [], tx.ngrams(tx.latin_words("text"), n), "phrase")
     ranked = phrases.groupBy("phrase").agg(F.count("*").alias("n"))
     other = F.size(F.array_except(F.split("phrase", " "), tx.string_array(stop_words))) > 0
     return ranked.where(other).orderBy(F.desc("n"), "phrase").limit(top_k)
@@ -55,7 +56,7 @@ def common_phrases(reviews: DataFrame, n: int = 2, top_k: int = 30, stop_words=l
 
 def term_occurrences(reviews: DataFrame, terms, *carry: str) -> DataFrame:
     """(review, term) pairs for whole-word hits; one scan of each text for the whole list."""
-    return reviews.select("review_id", *carry, F.explode(tx.matched_words("text", terms)).alias("term"))
+    return exploded(reviews, ["review_id", *carry], tx.matched_words("text", terms), "term")
 
 
 def term_frequencies(reviews: DataFrame, terms) -> DataFrame:
@@ -114,13 +115,13 @@ def cooccurring_words(reviews: DataFrame, terms, window: int = 5, top_n: int = 1
     for t in terms:
         branch = tx.context_words("text", t, window)
         near = F.when(F.col("term") == t, branch) if near is None else near.when(F.col("term") == t, branch)
-    words = hits.select(F.explode(near).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
+    words = exploded(hits, [], near, "word").where(F.col("word").rlike("^[a-z]{3,}$"))
     drop = set(stop_words) | {t.lower() for t in terms}
     return top_counts(words.where(~F.col("word").isin(sorted(drop))), "word", top_n)
 
 
 def keyword_in_context(reviews: DataFrame, term: str, window: int = 5) -> DataFrame:
-    return reviews.select("review_id", F.posexplode(tx.context_windows("text", term, window)).alias("hit", "context"))
+    return numbered(reviews, ["review_id"], tx.context_windows("text", term, window), "hit", "context")
 
 
 def examples_per_term(reviews: DataFrame, terms, m: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
+from voxtable.operators.rows import numbered
 from voxtable.sources.scratch import literal_table
 
 STATE_PREFIX = ["pos", "neg", "neu"]
@@ -41,12 +42,13 @@ def sentence_polarity(reviews: DataFrame, polarity: DataFrame | None = None, key
     side, so what is shuffled is one narrow row per sentence.
     """
     polarity = default_polarity(reviews.sparkSession) if polarity is None else polarity
-    per_sentence = reviews.select(key, F.posexplode(sentences).alias("sentence_no", "sentence"))
+    per_sentence = numbered(reviews, [key], sentences, "sentence_no", "sentence")
     tokens = F.regexp_extract_all(F.lower("sentence"), F.lit(f"[{tx.WORD_CHARS}']+"), F.lit(0))
-    marks = F.least(F.length(F.regexp_replace("sentence", "[^!]", "")), F.lit(4))
+    marks = F.least(F.length("sentence") - F.length(F.replace("sentence", F.lit("!"), F.lit(""))), F.lit(4))
     rows = tx.let(tokens, lambda ts: F.transform(ts, lambda w, i: F.struct(
         w.alias("word"), *[F.when(i >= k, F.get(ts, i - k)).alias(f"before{k}") for k in (1, 2, 3)])))
-    words = per_sentence.select(key, "sentence_no", marks.alias("marks"), F.inline_outer(rows))
+    staged = per_sentence.select(key, "sentence_no", marks.alias("marks"), rows.alias("rows"))
+    words = staged.select(key, "sentence_no", "marks", F.inline_outer("rows"))
     valued = words.join(polarity.select("word", "valence"), "word", "left")
     total = F.coalesce(F.sum(_adjusted(F.col("valence"))), F.lit(0.0))
     sums = valued.groupBy(key, "sentence_no").agg(total.alias("s"), F.max("marks").alias("marks"))

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
+from voxtable.operators.rows import unpacked
 from voxtable.sources.scratch import literal_table, materialize
 
 
@@ -30,7 +31,7 @@ def counted_terms(docs: DataFrame, *keys: str, text: str = "text", stop_words=No
 def vocabulary_table(docs: DataFrame, n_docs: int, max_features: int, key: str = "review_id",
                      stop_words=None) -> DataFrame:
     """The ``max_features`` most frequent terms (ties in term order) with df and idf."""
-    pairs = counted_terms(docs, key, stop_words=stop_words).select(F.inline("terms"))
+    pairs = unpacked(counted_terms(docs, key, stop_words=stop_words), [], "terms", "term")
     totals = pairs.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     top = totals.orderBy(F.desc("total"), "term").limit(max_features)
     return top.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
@@ -44,7 +45,7 @@ def fit(docs: DataFrame, max_features: int = 10_000, key: str = "review_id", sto
 
 def raw_weights(docs: DataFrame, model: TfidfModel, *keys: str, text: str = "text") -> DataFrame:
     """(keys, term, w = tf * idf) for the known terms; the vocabulary side is small."""
-    exploded = counted_terms(docs, *keys, text=text, stop_words=model.stop_words).select(*keys, F.inline("terms"))
+    exploded = unpacked(counted_terms(docs, *keys, text=text, stop_words=model.stop_words), list(keys), "terms", "term")
     known = exploded.join(model.vocabulary.select("term", "idf"), "term")
     return known.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
@@ -94,7 +95,7 @@ def retrieve_one(docs: DataFrame, terms: list[str], model: TfidfModel, k: int =
     query = literal_table(docs.sparkSession, {"query_id": ["q"], "text": [" ".join(terms)]})
     wq = transform(query, model, "query_id").select("term", "weight")
     lookup = model.vocabulary.select("term", "idf").join(wq, "term", "left")
-    exploded = counted_terms(docs, "review_id", stop_words=model.stop_words).select("review_id", F.inline("terms"))
+    exploded = unpacked(counted_terms(docs, "review_id", stop_words=model.stop_words), ["review_id"], "terms", "term")
     w = F.col("tf") * F.col("idf")
     per_doc = exploded.join(lookup, "term").groupBy("review_id").agg(
         F.sum(w * F.col("weight")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))

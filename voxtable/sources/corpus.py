@@ -97,7 +97,8 @@ def gold_set(curated: DataFrame) -> DataFrame:
 def read_verdict_batches(spark: SparkSession, folder: str) -> DataFrame:
     """All ``batch_*.csv`` files: row_index, verified_topic, file, position in the file."""
     df = spark.read.option("header", "true").schema(schemas.VERDICT).csv(f"{folder.rstrip('/')}/batch_*.csv")
-    return df.select(F.col("index").alias("row_index"), "verified_topic", F.col("_metadata.file_name").alias("file"),
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(batch_[^/]*\.csv)", 1)
+    return df.select(F.col("index").alias("row_index"), "verified_topic", name.alias("file"),
                      F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("position"))
 
 

@@ -34,6 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input with fewer splits than cores over all cores; otherwise leave it alone.
+
+    A file with a single row group is read by one task, which would then do all text work. A
+    large table has many more splits than cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def literal_table(spark: SparkSession, columns: dict) -> DataFrame:
     """A small in-plan table from Python lists; its size is known to the optimizer."""
     import pyarrow as pa
