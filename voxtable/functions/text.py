@@ -241,7 +241,12 @@ def transition_key(a: Column, b: Column) -> Column:
 
 
 def beam_path_text(path, score) -> Column:
-    return F.concat(F.array_join(_col(path), " → "), F.format_string(" (score: %.2f)", _col(score)))
+    return F.concat(F.array_join(_col(path), " → "), F.lit(" (score: "), fixed(score, 2), F.lit(")"))
+
+
+def fixed(number, decimals: int) -> Column:
+    """Fixed decimals, rounded from the exact binary value (half to even on true ties)."""
+    return F.replace(F.format_number(_col(number), decimals), F.lit(","), F.lit(""))
 
 
 def formatted_id(n, prefix: str = "R") -> Column:
@@ -250,5 +255,5 @@ def formatted_id(n, prefix: str = "R") -> Column:
 
 
 def percent_text(share, decimals: int = 1) -> Column:
-    return F.format_string(f"%.{decimals}f%%", _col(share) * 100)
+    return F.concat(fixed(_col(share) * 100, decimals), F.lit("%"))
 

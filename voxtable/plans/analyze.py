@@ -42,9 +42,9 @@ NO_MATCH = "No matching reviews found for the current filters and query."
 
 def summary_text(n: Column, topic: Column, p_pos: Column, p_neg: Column, rating: Column, length: Column) -> Column:
     full = F.format_string(
-        "Analyzed %d reviews for topic '%s'. P(positive|topic)=%.2f, P(negative|topic)=%.2f. "
-        "Average rating is %.2f/5. Average sentiment-sequence length is %.1f sentences.",
-        n, topic, p_pos, p_neg, rating, length)
+        "Analyzed %d reviews for topic '%s'. P(positive|topic)=%s, P(negative|topic)=%s. "
+        "Average rating is %s/5. Average sentiment-sequence length is %s sentences.",
+        n, topic, tx.fixed(p_pos, 2), tx.fixed(p_neg, 2), tx.fixed(rating, 2), tx.fixed(length, 1))
     return F.when(n > 0, full).otherwise(NO_MATCH)
 
 
@@ -134,10 +134,11 @@ def prompt_table(analysis: Analysis, max_reviews: int = 10, max_sequences: int =
     lines = lambda c, sep: F.array_join(F.transform(c, lambda x: x["line"]), sep)
     joined = analysis.insights.join(counts, "query_id").join(reviews, "query_id").join(sequences, "query_id", "left")
     head = F.format_string(
-        "Review count: %d\nTopic: %s\nP(positive|topic): %.4f\nP(negative|topic): %.4f\n"
-        "P(high_rating|positive): %.4f\nP(low_rating|negative): %.4f",
-        "n", "topic", "p_positive_given_topic", "p_negative_given_topic", "p_high_rating_given_positive",
-        "p_low_rating_given_negative")
+        "Review count: %d\nTopic: %s\nP(positive|topic): %s\nP(negative|topic): %s\n"
+        "P(high_rating|positive): %s\nP(low_rating|negative): %s",
+        "n", "topic", *[tx.fixed(c, 4) for c in (
+            "p_positive_given_topic", "p_negative_given_topic", "p_high_rating_given_positive",
+            "p_low_rating_given_negative")])
     return joined.select("query_id", head.alias("statistics"),
                          F.coalesce(lines("s", "\n"), F.lit("")).alias("sequences"), lines("r", "\n\n").alias("reviews"))
 

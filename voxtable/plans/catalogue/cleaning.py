@@ -386,11 +386,11 @@ def _(d):
 
 
 @query("h19_formats", """SELECT printf('R%06d', event_id * 1000) AS review_id, printf('%.1f%%', floor(value) / 8 * 100) AS pct,
-  printf('%.2f', floor(value) / 4) AS fixed, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events""")
+  printf('%.2f', floor(value) / 8) AS fixed, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events""")
 def _(d):
     e = d.table("events")
     return e.select(tx.formatted_id(F.col("event_id") * 1000).alias("review_id"), tx.percent_text(F.floor("value") / 8).alias("pct"),
-                    F.format_string("%.2f", F.floor("value") / 4).alias("fixed"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
+                    tx.fixed(F.floor("value") / 8, 2).alias("fixed"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
 
 
 @query("h20_clamp", "SELECT event_id, round(greatest(0.0::DOUBLE, 1 - value / 50 - 0.1::DOUBLE), 6) AS rest FROM events")

@@ -235,9 +235,11 @@ def _(d):
     return evaluation.expansion_not_empty(expansion.expand(d.queries, d.synonyms)).withColumn("term_count", big("term_count"))
 
 
-MATCHED = f"""{RANKED}, matched AS (
-  SELECT k.query_id, k.review_id, list_distinct(list_filter(a.terms, lambda t: list_contains({sql_words('lower(r.text)')}, t))) AS m
-  FROM ranked k JOIN reviews r USING (review_id) JOIN asked a ON a.query_id = k.query_id)"""
+MATCHED = f"""{RANKED}, review_words AS MATERIALIZED (
+  SELECT DISTINCT review_id, unnest({sql_words('lower(text)')}) AS term FROM reviews),
+hit_terms AS (
+  SELECT DISTINCT k.query_id, k.review_id, w.term FROM ranked k JOIN review_words w USING (review_id)
+  JOIN (SELECT DISTINCT query_id, unnest(terms) AS term FROM asked) a ON a.query_id = k.query_id AND a.term = w.term)"""
 
 
 def matched_of(d: Tables):
@@ -245,12 +247,13 @@ def matched_of(d: Tables):
     return tfidf.matching_terms(rows)
 
 
-@query("a28_term_coverage", f"WITH {MATCHED} SELECT query_id, round(avg(CASE WHEN len(m) > 0 THEN 1 ELSE 0 END), 6) AS coverage FROM matched GROUP BY query_id")
+@query("a28_term_coverage", f"""WITH {MATCHED}
+SELECT k.query_id, round(count(DISTINCT h.review_id) / count(DISTINCT k.review_id), 6) AS coverage
+FROM ranked k LEFT JOIN hit_terms h ON h.query_id = k.query_id AND h.review_id = k.review_id GROUP BY k.query_id""")
 def _(d):
     return evaluation.term_coverage(matched_of(d)).withColumn("coverage", r6("coverage"))
 
 
-@query("a29_top_matching_terms", f"""WITH {MATCHED} SELECT query_id, term, count(*) AS n_reviews
-FROM (SELECT query_id, unnest(m) AS term FROM matched) GROUP BY query_id, term""")
+@query("a29_top_matching_terms", f"""WITH {MATCHED} SELECT query_id, term, count(*) AS n_reviews FROM hit_terms GROUP BY query_id, term""")
 def _(d):
     return evaluation.top_matching_terms(matched_of(d))
