@@ -2,4 +2,4 @@
 
 from voxtable.plans.catalogue.base import QUERIES, SQL  # noqa: F401
 from voxtable.plans.catalogue import (  # noqa: F401
-    sources, cleaning, exploring, searching, topics, probabilities)
+    sources, cleaning, exploring, searching, topics, probabilities, sequences, composed)

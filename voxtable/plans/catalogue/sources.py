@@ -262,7 +262,7 @@ def _(d):
     nb = classifier.fit(d.labeled, label="topic_label")
     schema = d.table("documents").schema
     stream = corpus.with_columns_from_documents(
-        d.spark.readStream.schema(schema).parquet(f"{d.folder}/documents.parquet"))
+        d.spark.readStream.schema(schema).parquet(f"{d.folder}/documents*.parquet"))
     out, checkpoint = scratch_path(d.spark, "scored"), scratch_path(d.spark, "stream-checkpoint")
     scoring.write_scored(scoring.labeled_stream(stream, CORPUS_LEXICON), nb, out, checkpoint).awaitTermination()
     return d.spark.read.parquet(out).select("review_id", "topic_label", big("confidence_score").alias("confidence_score"),
