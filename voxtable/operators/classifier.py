@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxtable.functions import lexicons as lex
 from voxtable.operators import tfidf
 from voxtable.operators.labeling import coerce_topic
-from voxtable.sources.scratch import materialize
+from voxtable.sources.scratch import materialize, small
 
 
 class NaiveBayesModel(NamedTuple):
@@ -68,7 +68,7 @@ def class_scores(docs: DataFrame, model: NaiveBayesModel, key: str = "review_id"
     exploded = counted.select(key, F.inline_outer("terms"))
     w = F.col("tf") * F.col("idf")
     ks = range(len(model.classes))
-    per_doc = exploded.join(model.terms, "term", "left").groupBy(key).agg(
+    per_doc = exploded.join(small(model.terms, model.tfidf.max_features), "term", "left").groupBy(key).agg(
         F.sqrt(F.sum(w * w)).alias("norm"), *[F.sum(w * F.get("logp", F.lit(i))).alias(f"s_{i}") for i in ks])
     prior = model.priors.scalar()
     parts = [F.get("p", F.lit(i)) + F.coalesce(F.col(f"s_{i}") / F.col("norm"), F.lit(0.0)) for i in ks]
@@ -99,7 +99,7 @@ def explain_features(docs: DataFrame, model: NaiveBayesModel, n: int = 3) -> Dat
     """Top n terms per review by weight times the lead of the predicted class over the mean."""
     predicted = predict(docs, model).select("review_id", "predicted_topic")
     order = F.array(*[F.lit(c) for c in model.classes])
-    lookup = model.terms.select("term", "logp")
+    lookup = small(model.terms.select("term", "logp"), model.tfidf.max_features)
     mean = F.aggregate("logp", F.lit(0.0), lambda a, x: a + x) / F.size("logp")
     weighted = tfidf.transform(docs, model.tfidf).join(lookup, "term").join(predicted, "review_id")
     own = F.get("logp", F.array_position(order, F.col("predicted_topic")).cast("int") - 1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
 from voxtable.operators.rows import unpacked
-from voxtable.sources.scratch import literal_table, materialize
+from voxtable.sources.scratch import literal_table, materialize, small
 
 
 class TfidfModel(NamedTuple):
@@ -28,11 +28,45 @@ def counted_terms(docs: DataFrame, *keys: str, text: str = "text", stop_words=No
     return docs.select(*keys, tx.term_counts(tx.search_terms(text, stop_words)).alias("terms"))
 
 
+PRUNE_FROM = 1_000_000
+
+
+def _totals(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+
+
+def term_totals(docs: DataFrame, key: str = "review_id", stop_words=None) -> DataFrame:
+    """(term, total, df) of every unigram and bigram."""
+    return _totals(unpacked(counted_terms(docs, key, stop_words=stop_words), [], "terms", "term"))
+
+
+def frequent_term_totals(docs: DataFrame, max_features: int, stop_words=None) -> DataFrame:
+    """Totals of a set of terms that surely holds the ``max_features`` most frequent ones.
+
+    A bigram is never more frequent than either of its words, and the words alone already set
+    a floor: the total of the word in place ``max_features``. Bigrams with a word under that
+    floor cannot qualify and are dropped before the shuffle. The long tail of rare bigrams,
+    most of the shuffle on a large corpus, is never sent; the price is a second pass over the text.
+    """
+    kept = tx.without(tx.search_tokens("text"), lex.SEARCH_STOP_WORDS if stop_words is None else stop_words)
+    words = materialize(_totals(unpacked(docs.select(tx.term_counts(kept).alias("terms")), [], "terms", "term")), "word-totals")
+    top = words.select("total").orderBy(F.desc("total")).limit(max_features)
+    edge = top.agg(F.count("*").alias("n"), F.min("total").alias("floor")).first()
+    floor = edge["floor"] if edge["n"] == max_features else 0
+    frequent = words.where(F.col("total") >= floor).select("term")
+    n_frequent = frequent.count()  # ties at the floor can make it larger than max_features
+    pairs = unpacked(docs.select(tx.let(kept, lambda ts: tx.term_counts(tx.ngrams(ts, 2))).alias("terms")), [], "terms", "term")
+    pairs = pairs.withColumns({"first": F.substring_index("term", " ", 1), "second": F.substring_index("term", " ", -1)})
+    for side in ("first", "second"):
+        pairs = pairs.join(small(frequent.select(F.col("term").alias(side)), n_frequent), side, "left_semi")
+    return words.unionByName(_totals(pairs))
+
+
 def vocabulary_table(docs: DataFrame, n_docs: int, max_features: int, key: str = "review_id",
                      stop_words=None) -> DataFrame:
     """The ``max_features`` most frequent terms (ties in term order) with df and idf."""
-    pairs = unpacked(counted_terms(docs, key, stop_words=stop_words), [], "terms", "term")
-    totals = pairs.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    totals = (frequent_term_totals(docs, max_features, stop_words) if n_docs >= PRUNE_FROM
+              else term_totals(docs, key, stop_words))
     top = totals.orderBy(F.desc("total"), "term").limit(max_features)
     return top.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
 
@@ -46,7 +80,7 @@ def fit(docs: DataFrame, max_features: int = 10_000, key: str = "review_id", sto
 def raw_weights(docs: DataFrame, model: TfidfModel, *keys: str, text: str = "text") -> DataFrame:
     """(keys, term, w = tf * idf) for the known terms; the vocabulary side is small."""
     exploded = unpacked(counted_terms(docs, *keys, text=text, stop_words=model.stop_words), list(keys), "terms", "term")
-    known = exploded.join(model.vocabulary.select("term", "idf"), "term")
+    known = exploded.join(small(model.vocabulary.select("term", "idf"), model.max_features), "term")
     return known.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
@@ -97,7 +131,7 @@ def retrieve_one(docs: DataFrame, terms: list[str], model: TfidfModel, k: int =
     lookup = model.vocabulary.select("term", "idf").join(wq, "term", "left")
     exploded = unpacked(counted_terms(docs, "review_id", stop_words=model.stop_words), ["review_id"], "terms", "term")
     w = F.col("tf") * F.col("idf")
-    per_doc = exploded.join(lookup, "term").groupBy("review_id").agg(
+    per_doc = exploded.join(small(lookup, model.max_features), "term").groupBy("review_id").agg(
         F.sum(w * F.col("weight")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
     scored = per_doc.where(F.col("dot") > 0).select("review_id", (F.col("dot") / F.col("norm")).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 9)), "review_id").limit(k)

@@ -243,10 +243,10 @@ def _(d):
 SELECT 'TF-IDF' AS model, n AS corpus_size, 'max_features=10000, ngram_range=[1, 2]' AS parameters FROM sizes
 UNION ALL SELECT 'Naive Bayes', n, 'alpha=1.0, max_features=5000' FROM sizes
 UNION ALL SELECT 'Bayesian Net', n, 'structure=topic>sentiment>rating_category' FROM sizes
-UNION ALL SELECT 'HMM', n, 'n_components=3, n_iter=100' FROM sizes""")
+UNION ALL SELECT 'HMM', n, 'n_components=3, n_iter=5' FROM sizes""")
 def _(d):
     labeled = labeling.auto_label(d.with_sentences, CORPUS_LEXICON)
-    overview = train.train_all(d.spark, d.with_sentences, labeled, scratch_path(d.spark, "models"), polarity=d.polarity)
+    overview = train.train_all(d.spark, d.with_sentences, labeled, scratch_path(d.spark, "models"), hmm_iterations=5, polarity=d.polarity)
     return overview.select("model", "corpus_size", "parameters")
 
 

@@ -9,7 +9,7 @@ from voxtable.operators.labeling import coerce_topic
 from voxtable.sources import models
 
 
-def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root: str, hmm_limit: int | None = 50_000,
+def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root: str, hmm_limit: int | None = 50_000, hmm_iterations: int = 100,
               polarity: DataFrame | None = None, source: str = "corpus", with_index: bool = True) -> DataFrame:
     """``corpus`` has review_id, text, rating and sentences; ``labeled`` also topic_label.
 
@@ -37,10 +37,10 @@ def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root:
 
     prefix = corpus.orderBy("review_id").limit(hmm_limit) if hmm_limit else corpus
     observed = sentiment.observations(prefix, polarity)
-    sequence_model = hmm.fit(observed)
+    sequence_model = hmm.fit(observed, max_iter=hmm_iterations)
     if sequence_model is not None:
         meta = models.metadata_row(spark, "HMM", source, min(index.n_docs, hmm_limit or index.n_docs),
-                                   {"n_components": hmm.N_STATES, "n_iter": 100},
+                                   {"n_components": hmm.N_STATES, "n_iter": hmm_iterations},
                                    {"converged": sequence_model.converged, "iterations": sequence_model.iterations})
         models.save_hmm(spark, sequence_model, f"{root}/hmm", meta)
     names = ["tfidf", "classifier", "probabilities"] + (["hmm"] if sequence_model is not None else [])

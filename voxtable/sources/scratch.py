@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,10 +38,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread an input with fewer splits than cores over all cores; otherwise leave it alone.
 
     A file with a single row group is read by one task, which would then do all text work. A
-    large table has many more splits than cores and is not shuffled.
+    large table has many more splits than cores and is not shuffled. The filter is always true;
+    being non-deterministic it keeps costly later filters from moving below the exchange, back
+    into that one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key).where(F.spark_partition_id() >= 0)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` when its proven row bound is small; otherwise the optimizer decides."""
+    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
 
 
 def literal_table(spark: SparkSession, columns: dict) -> DataFrame:
