@@ -74,3 +74,19 @@ def test_verdicts_last_file_wins(spark):
     loose = {r["row_index"]: r["verified_topic"] for r in labeling.apply_verdicts(curated, verdicts, strict=False).collect()}
     assert loose == {0: "support", 1: "usability", 9: "other"}
     assert [r["row_index"] for r in labeling.unknown_verdicts(curated, verdicts).collect()] == [9]
+
+
+def test_prefix_by_key(spark):
+    df = spark.range(0, 300, 1, 6).select(F.format_string("R%06d", F.lit(299) - F.col("id")).alias("review_id"))
+    assert sorted(r[0] for r in sampling.prefix(df, 40).collect()) == [f"R{i:06d}" for i in range(40)]
+    assert sampling.prefix(df, 1000).count() == 300
+
+
+def test_ids_follow_the_files(spark, folder):
+    from voxtable.sources import corpus
+
+    rows = [(f"text {i}", 3, "t", "p", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "text string, rating int, title string, parent_asin string, n int")
+    df.repartitionByRange(7, "n").sortWithinPartitions("n").drop("n").write.json(f"{folder}/raw")
+    out = corpus.ingest_with_ids(spark, f"{folder}/raw").collect()
+    assert {r["review_id"]: r["text"] for r in out} == {f"R{i:06d}": f"text {i}" for i in range(100)}

@@ -178,3 +178,13 @@ def test_score_order_check(spark):
     rows = [(1, 1, 0.9), (1, 2, 0.9), (1, 3, 0.4), (2, 1, 0.4), (2, 2, 0.9)]
     out = evaluation.score_ordering(spark.createDataFrame(rows, "query_id int, rank int, score double"))
     assert {r["query_id"]: r["passed"] for r in out.collect()} == {1: True, 2: False}
+
+
+def test_salted_scores_equal_broadcast_ones(spark, monkeypatch):
+    corpus = docs(spark)
+    model = tfidf.fit(corpus)
+    queries = spark.createDataFrame([(1, ["shipping", "quality"]), (2, ["delivery", "fast"])], "query_id int, terms array<string>")
+    run = lambda: sorted(map(tuple, tfidf.retrieve(tfidf.transform(corpus, model), queries, model, 10).collect()))
+    plain = run()
+    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 0)
+    assert run() == plain and plain

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex
+from voxtable.operators.cleaning import dense_index
 
 
 def seeded_order(seed: int = 42, key: str = "review_id") -> list[Column]:
@@ -45,5 +46,14 @@ def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
+def prefix(df: DataFrame, n: int, key: str = "review_id") -> DataFrame:
+    """First n rows by a unique key, for an n too large to gather.
+
+    Only the keys are sorted; the key at place n then filters the table where it lies.
+    """
+    edge = dense_index(df.select(key), key).where(F.col("row_index") == n - 1).select(key).first()
+    return df if edge is None else df.where(F.col(key) <= edge[0])
+
+
 def verification_sample(df: DataFrame, n: int = 100, order=None) -> DataFrame:
     return df.orderBy(*(order or seeded_order())).limit(n)

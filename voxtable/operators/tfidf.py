@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
 from voxtable.operators.rows import unpacked
-from voxtable.sources.scratch import literal_table, materialize, small
+from voxtable.sources.scratch import BROADCAST_ROWS, literal_table, materialize, small
 
 
 class TfidfModel(NamedTuple):
@@ -50,16 +50,25 @@ def frequent_term_totals(docs: DataFrame, max_features: int, stop_words=None) ->
     """
     kept = tx.without(tx.search_tokens("text"), lex.SEARCH_STOP_WORDS if stop_words is None else stop_words)
     words = materialize(_totals(unpacked(docs.select(tx.term_counts(kept).alias("terms")), [], "terms", "term")), "word-totals")
-    top = words.select("total").orderBy(F.desc("total")).limit(max_features)
-    edge = top.agg(F.count("*").alias("n"), F.min("total").alias("floor")).first()
-    floor = edge["floor"] if edge["n"] == max_features else 0
+    floor = frequency_floor(words, max_features)
     frequent = words.where(F.col("total") >= floor).select("term")
     n_frequent = frequent.count()  # ties at the floor can make it larger than max_features
     pairs = unpacked(docs.select(tx.let(kept, lambda ts: tx.term_counts(tx.ngrams(ts, 2))).alias("terms")), [], "terms", "term")
     pairs = pairs.withColumns({"first": F.substring_index("term", " ", 1), "second": F.substring_index("term", " ", -1)})
     for side in ("first", "second"):
         pairs = pairs.join(small(frequent.select(F.col("term").alias(side)), n_frequent), side, "left_semi")
-    return words.unionByName(_totals(pairs))
+    return words.unionByName(_totals(pairs)).where(F.col("total") >= floor)
+
+
+def frequency_floor(totals: DataFrame, n: int) -> int:
+    """The n-th largest total (0 when there are fewer rows), from the histogram of totals.
+
+    Only the distinct totals are sorted, never the terms.
+    """
+    histogram = totals.groupBy("total").agg(F.count("*").alias("terms"))
+    running = F.sum("terms").over(W.orderBy(F.desc("total")))
+    reached = histogram.withColumn("running", running).where(F.col("running") >= n)
+    return reached.agg(F.max("total")).first()[0] or 0
 
 
 def vocabulary_table(docs: DataFrame, n_docs: int, max_features: int, key: str = "review_id",
@@ -103,9 +112,23 @@ def query_weights(queries: DataFrame, model: TfidfModel) -> DataFrame:
     return transform(joined, model, "query_id").withColumnRenamed("weight", "query_weight")
 
 
+SALTS = 32
+
+
 def score(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """Cosine per (query, review) with at least one common term, so every score is positive."""
-    hits = postings.join(weights, "term")
+    """Cosine per (query, review) with at least one common term, so every score is positive.
+
+    The query side is stored and counted: a small one is broadcast; a large one is repeated
+    once per salt, so that the postings of a term found in most reviews meet it in many tasks.
+    """
+    weights = materialize(weights, "query-weights")
+    n = weights.count()
+    if n <= BROADCAST_ROWS:
+        hits = postings.join(F.broadcast(weights), "term")
+    else:
+        salt = F.pmod(F.xxhash64("review_id"), F.lit(SALTS)).cast("int")
+        repeated = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = postings.withColumn("salt", salt).join(repeated, ["term", "salt"])
     return hits.groupBy("query_id", "review_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 

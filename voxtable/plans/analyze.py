@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions import text as tx
 from voxtable.operators import classifier, expansion, hmm, labeling, probability, sentiment, tfidf
-from voxtable.sources.scratch import materialize
+from voxtable.sources.scratch import materialize, small
 
 
 class Models(NamedTuple):
@@ -91,8 +91,9 @@ def analyze(queries: DataFrame, reviews: DataFrame, models: Models, top_k: int =
     expanded = materialize(expanded, "expanded-queries")
 
     terms = expanded.select("query_id", F.col("filtered_terms").alias("terms"))
-    ranked = tfidf.retrieve(models.postings, terms, models.index, top_k)
-    found = ranked.join(reviews, "review_id").join(targets.select("query_id", "target_topic"), "query_id")
+    ranked = materialize(tfidf.retrieve(models.postings, terms, models.index, top_k), "ranked")
+    # The ranked ids are few beside the corpus; broadcast, they pick their texts without moving the rest.
+    found = reviews.join(small(ranked, ranked.count()), "review_id").join(targets.select("query_id", "target_topic"), "query_id")
     found = materialize(found, "candidates")
 
     texts = found.groupBy("review_id").agg(F.any_value("text").alias("text"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.operators import classifier, hmm, probability, sentiment, tfidf
+from voxtable.operators import classifier, hmm, probability, sampling, sentiment, tfidf
 from voxtable.operators.labeling import coerce_topic
 from voxtable.sources import models
 
@@ -35,8 +35,8 @@ def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root:
                                {"structure": "topic>sentiment>rating_category"}, {"n_cpds": 3})
     models.save_probabilities(tables, f"{root}/probabilities", meta)
 
-    prefix = corpus.orderBy("review_id").limit(hmm_limit) if hmm_limit else corpus
-    observed = sentiment.observations(prefix, polarity)
+    chosen = sampling.prefix(corpus, hmm_limit) if hmm_limit else corpus
+    observed = sentiment.observations(chosen, polarity)
     sequence_model = hmm.fit(observed, max_iter=hmm_iterations)
     if sequence_model is not None:
         meta = models.metadata_row(spark, "HMM", source, min(index.n_docs, hmm_limit or index.n_docs),

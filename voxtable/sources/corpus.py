@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from voxtable.functions import text as tx
-from voxtable.operators.cleaning import assign_ids
 from voxtable.operators.labeling import known_topic
+from voxtable.operators.sampling import prefix
 from voxtable.sources import schemas
+from voxtable.sources.scratch import materialize, small
 from voxtable.sources.stage import exists
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
@@ -22,12 +23,23 @@ def ingest_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_with_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ingest and number the rows by file position."""
+    """Ingest and number the rows by file position.
+
+    The rows of a file split stay together in reading order, so a row's number is the number of
+    rows in the splits before it plus its place in its own split. One row per split is sorted;
+    the texts are neither sorted nor shuffled.
+    """
     raw = spark.read.schema(schemas.RAW).json(path).select(
         "text", "rating", "title", F.col("parent_asin").alias("product_id"),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"))
-    return assign_ids(raw, "_file", "_block", "_row").select("review_id", "text", "rating", "title", "product_id")
+    splits = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialize(splits.select("_file", "_block", (
+        F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "split-starts")
+    numbered = raw.join(small(starts, starts.count()), ["_file", "_block"])
+    return numbered.select(tx.formatted_id(F.col("_row") + F.col("_shift")).alias("review_id"),
+                           "text", "rating", "title", "product_id")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = schemas.REVIEW) -> DataFrame:
@@ -86,7 +98,7 @@ def load_labeled_reviews(spark: SparkSession, labeled_path: str, curated_path: s
 
 def training_set(labeled: DataFrame, dataset: str = "sample", n: int = 5000) -> DataFrame:
     """First n labeled rows, or all of them."""
-    rows = labeled.orderBy("review_id").limit(n) if dataset == "sample" else labeled
+    rows = prefix(labeled, n) if dataset == "sample" else labeled
     return rows.withColumn("label", F.col("topic_label"))
 
 
