@@ -6,6 +6,7 @@ the document's terms: one narrow aggregate per document, no class-by-term cross
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxtable.functions import lexicons as lex
 from voxtable.operators import tfidf
 from voxtable.operators.labeling import coerce_topic
-from voxtable.sources.scratch import materialize, small
+from voxtable.sources.scratch import literal_table, materialize, small
 
 
 class NaiveBayesModel(NamedTuple):
@@ -41,17 +42,18 @@ def fit(docs: DataFrame, label: str = "label", classes: list | None = None, max_
     classes = list(classes or lex.TOPICS)
     if "other" in classes:
         docs = docs.withColumn(label, F.when(F.col(label).isin(classes), F.col(label)).otherwise("other"))
-    model = tfidf.fit(docs, max_features, stop_words=stop_words)
-    if model.n_docs == 0:
-        raise ValueError("cannot fit a classifier on an empty table")
     ks = range(len(classes))
+    sizes = docs.agg(F.count("*").alias("n"), *[F.count_if(F.col(label) == c).alias(f"n_{i}") for i, c in enumerate(classes)]).first()
+    if sizes["n"] == 0:
+        raise ValueError("cannot fit a classifier on an empty table")
+    log_share = [math.log(sizes[f"n_{i}"] / sizes["n"]) if sizes[f"n_{i}"] else None for i in ks]
+    priors = literal_table(docs.sparkSession, {"priors": [log_share]})
+    model = tfidf.fit(docs, max_features, stop_words=stop_words, n_docs=sizes["n"])
     sums = materialize(feature_sums(docs, model, classes, label), "class-sums")
     totals = sums.agg(F.count("*").alias("v"), *[F.sum(f"f_{i}").alias(f"t_{i}") for i in ks]).first()
     logp = [F.log((F.col(f"f_{i}") + alpha) / (totals[f"t_{i}"] + alpha * totals["v"])) for i in ks]
-    terms = materialize(sums.select("term", "idf", F.array(*logp).alias("logp")), "class-terms")
-    counts = [F.count_if(F.col(label) == c) for c in classes]
-    priors = docs.agg(F.array(*[F.when(n > 0, F.log(n / F.count("*"))) for n in counts]).alias("priors"))
-    return NaiveBayesModel(terms, materialize(priors, "class-priors"), model, classes, alpha)
+    terms = sums.select("term", "idf", F.array(*logp).alias("logp"))
+    return NaiveBayesModel(terms, priors, model, classes, alpha)
 
 
 def fit_summary(model: NaiveBayesModel) -> DataFrame:

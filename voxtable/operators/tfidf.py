@@ -80,8 +80,9 @@ def vocabulary_table(docs: DataFrame, n_docs: int, max_features: int, key: str =
     return top.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
 
 
-def fit(docs: DataFrame, max_features: int = 10_000, key: str = "review_id", stop_words=None) -> TfidfModel:
-    n_docs = docs.count()
+def fit(docs: DataFrame, max_features: int = 10_000, key: str = "review_id", stop_words=None,
+        n_docs: int | None = None) -> TfidfModel:
+    n_docs = docs.count() if n_docs is None else n_docs
     vocab = materialize(vocabulary_table(docs, n_docs, max_features, key, stop_words), "vocabulary")
     return TfidfModel(vocab, n_docs, max_features, list(lex.SEARCH_STOP_WORDS if stop_words is None else stop_words))
 
