@@ -113,7 +113,11 @@ def explain_features(docs: DataFrame, model: NaiveBayesModel, n: int = 3) -> Dat
 
 def topic_filter(scored: DataFrame, target: str = "target_topic", min_confidence: float = 0.5) -> DataFrame:
     """Marks the rows of each query that carry its topic with enough confidence, and whether
-    the query falls back to all its rows."""
+    the query falls back to all its rows.
+
+    The rows are read twice, for the verdict per query (an aggregate, so a query with most of
+    the rows stays spread) and for the result: pass a stored table.
+    """
     kept = (F.col("predicted_topic") == coerce_topic(target)) & (F.col("confidence") >= min_confidence)
     flagged = scored.withColumn("kept", kept)
     per_query = flagged.groupBy("query_id").agg((~F.bool_or("kept")).alias("fallback_used"))

@@ -75,8 +75,8 @@ def analyze(queries: DataFrame, reviews: DataFrame, models: Models, top_k: int =
             beam_width: int = 3, max_depth: int = 2) -> Analysis:
     """``queries``: query_id, query and optionally topic_filter. ``reviews``: the review columns.
 
-    The candidates (top_k per query) are stored once; everything after them works on that
-    small table instead of repeating the retrieval.
+    The expanded queries and the candidates (top_k per query) are stored once; everything after
+    them works on those small tables instead of repeating the expansion or the retrieval.
     """
     override = F.col("topic_filter") if "topic_filter" in queries.columns else F.lit(None).cast("string")
     targets = queries.select("query_id", "query", labeling.chosen_topic(override, labeling.detect_topic("query")).alias("target_topic"))
@@ -84,11 +84,11 @@ def analyze(queries: DataFrame, reviews: DataFrame, models: Models, top_k: int =
     words = keywords.select("query_id", F.array_join("extracted_keywords", " ").alias("query"))
     expanded = expansion.expand(words, models.synonyms, beam_width, max_depth).drop("original_query") \
         .join(queries.select("query_id", F.col("query").alias("original_query")), "query_id")
+    expanded = materialize(expanded, "expanded-queries")
     if models.term_cache is None:
         expanded = expanded.withColumn("filtered_terms", F.col("expanded_terms"))
     else:
-        expanded = expanded.join(expansion.filter_terms(expanded, models.term_cache), "query_id")
-    expanded = materialize(expanded, "expanded-queries")
+        expanded = materialize(expanded.join(expansion.filter_terms(expanded, models.term_cache), "query_id"), "filtered-queries")
 
     terms = expanded.select("query_id", F.col("filtered_terms").alias("terms"))
     ranked = materialize(tfidf.retrieve(models.postings, terms, models.index, top_k), "ranked")
@@ -98,8 +98,8 @@ def analyze(queries: DataFrame, reviews: DataFrame, models: Models, top_k: int =
 
     texts = found.groupBy("review_id").agg(F.any_value("text").alias("text"))
     topics = classifier.predict(texts, models.nb)
-    scored = found.join(topics, "review_id")
-    candidates = materialize(classifier.topic_filter(scored, "target_topic", min_confidence), "classified")
+    scored = materialize(found.join(topics, "review_id"), "classified")
+    candidates = classifier.topic_filter(scored, "target_topic", min_confidence)
     analysed = candidates.where(F.col("kept") | F.col("fallback_used"))
 
     stored = "sentences" if "sentences" in candidates.columns else None

@@ -108,7 +108,7 @@ def scored_of(d: Tables):
 @query("p10_topic_filter", f"""WITH {SCORED} SELECT query_id, review_id, round(confidence, 6) AS confidence FROM scored
 WHERE predicted_topic = target_topic AND confidence >= 0.5""")
 def _(d):
-    kept = classifier.topic_filter(scored_of(d)).where("kept")
+    kept = classifier.topic_filter(materialize(scored_of(d), "scored")).where("kept")
     return kept.select("query_id", "review_id", r6("confidence").alias("confidence"))
 
 
@@ -117,7 +117,7 @@ def _(d):
 SELECT query_id, review_id, any_kept = 0 AS fallback_used FROM f
 WHERE any_kept = 0 OR (predicted_topic = target_topic AND confidence >= 0.9)""")
 def _(d):
-    flagged = classifier.topic_filter(scored_of(d), min_confidence=0.9)
+    flagged = classifier.topic_filter(materialize(scored_of(d), "scored"), min_confidence=0.9)
     return flagged.where(F.col("kept") | F.col("fallback_used")).select("query_id", "review_id", "fallback_used")
 
 
