@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import packing, quality_rules, toxicity
+from voxtable.llm import packing, quality_rules, substring_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     machine = toxicity.fit(docs, training_labels(spark, folder))
     return toxicity.score(docs, machine).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity__").alias("score"), F.col("toxic__").alias("predicted"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 50-word windows that start in an earlier document."""
+    found = substring_dedup.dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
