@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import packing, quality_rules, substring_dedup, toxicity
+from voxtable.llm import bpe, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,12 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the 50-word windows that start in an earlier document."""
     found = substring_dedup.dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
+
+
+@query
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all documents' ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
