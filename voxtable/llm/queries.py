@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import bpe, packing, quality_rules, substring_dedup, toxicity
+from voxtable.llm import bpe, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 400-byte strings that occur more than once."""
+    found = suffix_dedup.dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
