@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import bpe, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from voxtable.llm import bpe, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the 400-byte strings that occur more than once."""
     found = suffix_dedup.dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return minhash.dedup(table(spark, folder, "documents"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from voxtable.llm.arrow import BASE, mixed, powers, prefix_sums, raw, slices, span_hashes, text_of
+from voxtable.llm.arrow import BASE, mixed, powers, prefix_sums, raw, slices, sliding_least, span_hashes, text_of
 from voxtable.llm.stored import stored
 from voxtable.llm.substring_dedup import NO_ID, runs_of_equal, text_bytes
 
@@ -46,17 +46,6 @@ PACKED = "bucket int, ids array<long>, keys array<long>, counts array<int>, code
 REPLY = "id long, text_key long, code int, places array<long>"
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` neighbours."""
-    n, whole = len(values), -(-len(values) // width) * width
-    x = np.full(whole, np.iinfo(values.dtype).max, values.dtype)
-    x[:n] = values
-    x = x.reshape(-1, width)
-    ahead = np.minimum.accumulate(x, 1).ravel()
-    behind = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
-
-
 class Bytes:
     """The bytes of some texts end to end, ready for span hashes."""
 
