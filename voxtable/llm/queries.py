@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import bpe, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from voxtable.llm import bpe, chat_format, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,26 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Component of near copies of every document."""
     return minhash.dedup(table(spark, folder, "documents"))
+
+
+@query
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of turns and loss text, read back from the rendered conversations."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    formatted = chat_format.format_conversations(turns.unionByName(odd), public_tokenizers.path("byte_bpe_50k.json"))
+    back = chat_format.read_back(formatted)
+    lines = F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return back.select("conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, found by its key in the capture index and read back from the archives."""
+    pages = table(spark, folder, "pages")
+    found = warc.lookup(warc.write(pages), warc.keys_of(pages))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
