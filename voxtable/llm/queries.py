@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import bpe, chat_format, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from voxtable.llm import (
+    bpe, chat_format, embedding_dedup, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,3 +102,9 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     found = warc.lookup(warc.write(pages), warc.keys_of(pages))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_dedup.dedup(table(spark, folder, "embeddings"))
