@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtable.llm import packing, quality_rules, toxicity
+from voxtable.llm import minhash, packing, quality_rules, suffix_dedup, toxicity
 from voxtable.llm.queries import training_labels
 from voxtable.sources.scratch import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not score as toxic."""
@@ -22,12 +20,23 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.clean(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8."""
+    return minhash.clean(docs, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occur more than once; n_chars follows."""
+    return suffix_dedup.clean(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("minhash", drop_near_copies),
+          ("suffix_dedup", cut_repeats), ("packing", pack)]
 
 #: The trained scorer has no SQL form; the stages are tested one by one against plain counterparts.
 ORACLE_SQL = None

@@ -242,7 +242,7 @@ def _next_pass(length: int, step: int, smaller: int, buckets: int, first: bool):
     return fn
 
 
-def _applied(length: int, steps: tuple[int, ...]):
+def _applied(length: int, steps: tuple[int, ...], as_text: bool):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, at = raw(text_of(batch))
@@ -265,17 +265,20 @@ def _applied(length: int, steps: tuple[int, ...]):
             owner = np.searchsorted(at, opens, side="right") - 1
             spans = pa.StructArray.from_arrays([pa.array(opens - at[owner]), pa.array(closes - at[owner])], ["first", "after"])
             mine = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            left = pa.array([rest[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], pa.binary())
+            left = [rest[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
+            left = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size), pa.array(size - np.diff(kept)), pa.ListArray.from_arrays(pa.array(mine), spans), left],
-                                             ["id", "n_bytes", "n_removed", "removed", "kept_bytes"]).append_column("rest", batch["rest"])
+                                             ["id", "n_bytes", "n_removed", "removed", "kept"]).append_column("rest", batch["rest"])
 
     return fn
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, steps: tuple[int, ...] = STEPS,
-          keep: list[str] = ()) -> DataFrame:
+          keep: list[str] = (), as_text: bool = False) -> DataFrame:
     """One row per row of docs: the id, n_bytes, n_removed, removed (byte intervals), kept_bytes, and the columns of keep.
 
+    The columns of keep are returned as keep_0, keep_1, ... With as_text there is kept_text in place of kept_bytes:
+    without what is left of characters that were cut.
     steps: strings behind a place after each pass, falling to 1, each a divisor of the one before, the first <= length.
     """
     spark = docs.sparkSession
@@ -298,9 +301,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     for more in found[1:]:
         replies = replies.unionByName(more)
     extra = [f"keep_{k}" for k in range(len(keep))]
-    schema = met(replies, "left", "no_id", *extra).select("no_id", *extra).schema
     done = met(replies, "left", "no_id", *extra).select("id", "text", "replies", F.struct("no_id", *extra).alias("rest"))
-    applied = done.mapInArrow(_applied(length, steps), "id long, n_bytes long, n_removed long, removed array<struct<first:long,after:long>>, kept_bytes binary, rest " + schema.simpleString())
-    return applied.select(F.when(~F.col("rest.no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "removed", "kept_bytes",
+    applied = done.mapInArrow(_applied(length, steps, as_text), "id long, n_bytes long, n_removed long, removed array<struct<first:long,after:long>>, "
+                              f"kept {'string' if as_text else 'binary'}, rest {done.schema['rest'].dataType.simpleString()}")
+    return applied.select(F.when(~F.col("rest.no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "removed", F.col("kept").alias("kept_text" if as_text else "kept_bytes"),
                           *(F.col(f"rest.keep_{k}").alias(f"keep_{k}") for k in range(len(keep))))
 
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, each text without the strings that occur more than once. A null text becomes empty."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = dedup(docs, id_col, text_col, keep=others, as_text=True, **options)
+    named = {id_col: F.col(id_col), text_col: F.col("kept_text")} | {c: F.col(f"keep_{k}") for k, c in enumerate(others)}
+    return found.select(*(named[c].alias(c) for c in docs.columns))
