@@ -22,9 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from voxtable.llm.arrow import BASE, coded, hash64, powers, prefix_sums, slices, span_hashes, text_of, words_of
+from voxtable.llm.arrow import BASE, coded, hash64, mixed, powers, prefix_sums, slices, sliding_least, span_hashes, text_of, words_of
 
 WINDOW = 50
+#: Words of the runs that place a window in a bucket.
+GRAM = 8
 #: Bytes of text behind one bucket: about a million windows.
 BUCKET_BYTES = 6_000_000
 BATCH_BYTES = 8_000_000
@@ -49,16 +51,25 @@ def spread_runs(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - (ends - lengths), lengths)
 
 
-def windows(texts: pa.Array, window: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, where each text's words begin, hashes of all windows, each window's text and its first word in it."""
+def windows(texts: pa.Array, window: int, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, where each text's words begin, hashes and buckets of all windows, each window's text and first word in it.
+
+    The bucket follows from the least hash of the window's GRAM-word runs, so that neighbours mostly share a bucket and
+    a text's replies come from few of them.
+    """
     words, starts = words_of(texts)
     index, distinct = coded(words)
     count = np.maximum(np.diff(starts) - window + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
     first = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     lo = starts[doc] + first
-    hashes = span_hashes(prefix_sums(hash64(distinct)[index]), lo, lo + window, powers(BASE, len(words) + 1)) if len(lo) else np.zeros(0, np.uint64)
-    return words, starts, hashes, doc, first
+    if not len(lo):
+        return words, starts, np.zeros(0, np.uint64), np.zeros(0, np.int32), doc, first
+    prefix, scale = prefix_sums(hash64(distinct)[index]), powers(BASE, len(words) + 1)
+    gram = min(GRAM, window)
+    at = np.arange(len(words) - gram + 1)
+    least = sliding_least(span_hashes(prefix, at, at + gram, scale), window - gram + 1)[lo]
+    return words, starts, span_hashes(prefix, lo, lo + window, scale), bucket_of(mixed(least), buckets), doc, first
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -77,7 +88,7 @@ def _forward(window: int, buckets: int):
         for batch in slices(batches, "text", BATCH_BYTES):
             ids = pc.fill_null(batch["id"], NO_ID).to_numpy(zero_copy_only=False)
             keys = batch["text_key"].to_numpy(zero_copy_only=False)
-            _, _, hashes, doc, first = windows(text_of(batch), window)
+            _, _, hashes, bucket_of_all, doc, first = windows(text_of(batch), window, buckets)
             if not len(hashes):
                 continue
             order = np.argsort(hashes, kind="stable")
@@ -92,7 +103,7 @@ def _forward(window: int, buckets: int):
             again[row[1:]] = (np.diff(ids[row]) == 0) & (np.diff(keys[row]) == 0)
             out = []
             live = np.flatnonzero(~settled & ~again[doc])
-            bucket = bucket_of(hashes[live], buckets)
+            bucket = bucket_of_all[live]
             by = np.argsort(bucket, kind="stable")
             live, bucket = live[by], bucket[by]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
@@ -104,7 +115,7 @@ def _forward(window: int, buckets: int):
             ends = np.cumsum(sizes)
             for t, a, b in zip(texts.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                 f, n = runs(first[local[a:b]])
-                out.append((int(np.uint64(keys[t].astype(np.uint64)) % np.uint64(buckets)), ids[t:t + 1], keys[t:t + 1], None, None, f, n))
+                out.append(((int(keys[t]) + int(ids[t])) % buckets, ids[t:t + 1], keys[t:t + 1], None, None, f, n))
             for at in range(0, len(out), 4000):
                 cols = list(zip(*out[at:at + 4000], strict=True))
                 kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -151,9 +162,9 @@ def _counted(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([done, found])
 
 
-def _marked(hashes: np.ndarray, replies: list[dict], buckets: int) -> np.ndarray:
-    """Flags of the repeated windows of one text."""
-    flags = np.zeros(len(hashes), bool)
+def _marked(buckets: np.ndarray, replies: list[dict]) -> np.ndarray:
+    """Flags of the repeated windows of one text, given each window's bucket."""
+    flags = np.zeros(len(buckets), bool)
     rest = []
     for r in replies:
         if r["bucket"] is None:
@@ -162,7 +173,7 @@ def _marked(hashes: np.ndarray, replies: list[dict], buckets: int) -> np.ndarray
             rest.append(r)
     if rest:
         live = np.flatnonzero(~flags)
-        bucket = bucket_of(hashes[live], buckets)
+        bucket = buckets[live]
         by = np.argsort(bucket, kind="stable")
         live, bucket = live[by], bucket[by]
         for r in rest:
@@ -173,12 +184,12 @@ def _marked(hashes: np.ndarray, replies: list[dict], buckets: int) -> np.ndarray
 def _applied(window: int, buckets: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            words, starts, hashes, doc, _ = windows(text_of(batch), window)
+            words, starts, _, bucket, doc, _ = windows(text_of(batch), window, buckets)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             replies = batch["replies"]
             edge = np.zeros(len(words) + 1, np.int64)
             for k in np.flatnonzero(np.asarray(pc.is_valid(replies))).tolist():
-                flags = _marked(hashes[first[k]:first[k + 1]], replies[k].as_py(), buckets)
+                flags = _marked(bucket[first[k]:first[k + 1]], replies[k].as_py())
                 f, n = runs(np.flatnonzero(flags))
                 np.add.at(edge, starts[k] + f, 1)
                 np.add.at(edge, starts[k] + f + n + window - 1, -1)

@@ -114,7 +114,7 @@ def _packed(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarra
         texts, sizes = runs_of_equal(doc[at])
         for a in range(0, len(texts), 500):
             b, begin, end = min(a + 500, len(texts)), sizes[:a].sum(), sizes[:a + 500].sum()
-            out.append((int(keys[texts[a]]) % buckets, ids[texts[a:b]], keys[texts[a:b]], sizes[a:b], [code] * (b - a), place[at[begin:end]].tobytes(), None, None, None))
+            out.append(((int(keys[texts[a]]) + int(ids[texts[a]])) % buckets, ids[texts[a:b]], keys[texts[a:b]], sizes[a:b], [code] * (b - a), place[at[begin:end]].tobytes(), None, None, None))
 
     by = np.lexsort([np.arange(len(span)), span])
     new = np.concatenate([[True], np.diff(span[by]) != 0])[:len(by)]
