@@ -24,8 +24,11 @@ from voxtable.llm.arrow import coded, slices, text_of, words_of
 
 CAPACITY = 4096
 END = 2
-#: Words whose ids a task keeps; the table is emptied when full.
-CACHED_WORDS = 300_000
+#: Words whose ids a task keeps; when full, only those of the batch at hand stay.
+CACHED_WORDS = 600_000
+#: Words that the tokenizer takes at once.
+GROUP = 20_000
+BATCH_BYTES = 8_000_000
 #: Sequence numbers that one task may use.
 PER_TASK = 1 << 33
 
@@ -43,30 +46,53 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = words
-        if missing:
-            for word, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(encoded.ids, np.uint32)
-        return [self.known[w] for w in words]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of distinct words lie; words not yet known are encoded, in groups."""
+        known = self.known
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > CACHED_WORDS:
+            kept = [w for w in words if w in known]
+            old = np.fromiter(map(known.__getitem__, kept), np.int64, len(kept))
+            self._hold(self.size[old], gather(self.ids, self.first[old], self.size[old]), fresh=True)
+            self.known = known = {w: k for k, w in enumerate(kept)}
+        for a in range(0, len(missing), GROUP):
+            group = missing[a:a + GROUP]
+            if any(mark in w for mark in self.special for w in group):  # their tokens name no word
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                size, ids = np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32)
+            else:
+                encoded = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
+                size, ids = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(group)), np.array(encoded.ids, np.uint32)
+            known.update(zip(group, range(len(self.size), len(self.size) + len(group)), strict=True))
+            self._hold(size, ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _hold(self, size: np.ndarray, ids: np.ndarray, fresh: bool = False) -> None:
+        if fresh:
+            self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each text's closed by END, and where each text begins."""
         words, starts = words_of(texts)
         index, distinct = coded(words)
-        parts = [*self.of(distinct.to_pylist()), np.array([END], np.uint32)]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        index = np.insert(index, starts[1:], len(parts) - 1)
+        slot = self.slots(distinct.to_pylist())
+        ids = np.concatenate([self.ids, np.array([END], np.uint32)])
+        first, size = np.concatenate([self.first[slot], [len(ids) - 1]]), np.concatenate([self.size[slot], [1]])
+        index = np.insert(index, starts[1:], len(slot))
         lengths = size[index]
-        ends = np.cumsum(lengths)
-        flat = np.concatenate(parts)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - (ends - lengths), lengths)]
-        return flat, np.concatenate([[0], ends])[starts + np.arange(len(starts))]
+        return gather(ids, first[index], lengths), np.concatenate([[0], np.cumsum(lengths)])[starts + np.arange(len(starts))]
+
+
+def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first[0]:first[0] + size[0]], values[first[1]:...], ... end to end."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
 
 
 def pieces(n: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([ids, *rest], kinds, strict=True)], ["id", *OUT])
 
         id_type = pa.int64()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             id_type, ids = batch["id"].type, batch["id"].to_pylist()
             flat, at = words.batch(text_of(batch))
             n = np.diff(at)
