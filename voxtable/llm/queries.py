@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtable.llm import (
     bpe, chat_format, embedding_dedup, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc)
+from voxtable.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
@@ -24,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Document measures, document verdict and the verdict of its host."""
-    return quality_rules.assess(table(spark, folder, "documents"))
+    return quality_rules.assess(table(spark, folder, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 @query
@@ -49,7 +49,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     machine = toxicity.fit(docs, training_labels(spark, folder))
     return toxicity.score(docs, machine).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity__").alias("score"), F.col("toxic__").alias("predicted"))
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
 @query

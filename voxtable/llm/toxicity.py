@@ -20,13 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtable.llm.arrow import coded, hash64, mixed, slices, text_of, words_of
+from voxtable.llm.arrow import coded, hash64, slices, text_of, words_of
+from voxtable.llm.stored import stored
 
 BUCKETS = 1 << 26
 FACTORS = 4
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
+#: Learnt terms at most, those with most evidence.
+MAX_TERMS = 50_000
 MIN_DOCS = 5
 #: Terms whose relation with the label is weaker than that (log-likelihood ratio) are not learnt; equal texts count once.
 MIN_EVIDENCE = 15.0
@@ -51,12 +54,8 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def scores(self, docs: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
-        """Scores of n texts from their distinct (text, bucket) pairs, in text order."""
-        at = np.searchsorted(self.buckets, buckets)
-        known = at < len(self.buckets)
-        known[known] = self.buckets[at[known]] == buckets[known]
-        docs, at = docs[known], at[known]
+    def scores(self, docs: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n texts from their distinct (text, place of the bucket) pairs."""
         total = self.bias + np.bincount(docs, self.weights[at], n)
         for k in range(self.factors.shape[1]):
             v = self.factors[at, k]
@@ -64,57 +63,47 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def terms(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) pairs of a batch of texts, ascending."""
+def placed(known: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Place of each bucket among the known ones, which ascend; -1 if it is none of them."""
+    at = np.searchsorted(known, buckets)
+    at[at == len(known)] = 0
+    return np.where(known[at] == buckets, at, -1) if len(known) else np.full(len(buckets), -1)
+
+
+def terms(texts: pa.Array, buckets: int = BUCKETS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, bucket) pairs of a batch of texts, ascending; with ``known``, places of known buckets."""
     words, starts = words_of(texts)
     index, distinct = coded(words)
     if not len(index):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     plain = pc.utf8_trim(pc.utf8_lower(distinct), characters=OUTER)
-    full = np.asarray(pc.greater(pc.binary_length(plain), 0))
+    letters = np.asarray(pc.utf8_length(plain))
     docs = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    _, pair = np.unique(docs * len(distinct) + index, return_index=True)
-    docs, index = docs[pair], index[pair]
-    docs, index = docs[full[index]], index[full[index]]
-    longer = np.asarray(pc.utf8_length(plain))
-    keys = []
-    for length in (None, *PREFIXES):
-        term = plain if length is None else pc.utf8_slice_codeunits(plain, 0, length)
-        bucket = (hash64(term, length or 0) % np.uint64(buckets)).astype(np.int64)
-        at = slice(None) if length is None else longer[index] > length
-        keys.append(docs[at] * buckets + bucket[index[at]])
+    size, keys = buckets if known is None else max(len(known), 1), []
+    for length in (0, *PREFIXES):
+        bucket = (hash64(pc.utf8_slice_codeunits(plain, 0, length) if length else plain, length) % np.uint64(buckets)).astype(np.int64)
+        if known is not None:
+            bucket = placed(known, bucket)
+        bucket[letters <= length] = -1
+        at = np.flatnonzero(bucket[index] >= 0)
+        keys.append(docs[at] * size + bucket[index[at]])
     key = np.unique(np.concatenate(keys))
-    return key // buckets, key % buckets
+    return key // size, key % size
 
 
-def evidence(toxic: np.ndarray, count: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
+def evidence(toxic: Column, count: Column, all_toxic: float, n: int) -> Column:
     """Log-likelihood ratio of term and label being related, from their counts over n texts."""
-    table = np.array([[toxic, count - toxic], [all_toxic - toxic, n - count - all_toxic + toxic]])
-    expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * np.nansum(np.where(table > 0, table * np.log(table / expected), 0), axis=(0, 1))
+    cells = [(toxic, all_toxic * count), (count - toxic, (n - all_toxic) * count),
+             (all_toxic - toxic, all_toxic * (n - count)), (n - count - all_toxic + toxic, (n - all_toxic) * (n - count))]
+    return 2 * sum(F.when(seen > 0, seen * F.log(seen * n / expected)).otherwise(0.0) for seen, expected in cells)
 
 
-def fit_machine(docs: np.ndarray, buckets: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
-                min_docs: int = MIN_DOCS, min_evidence: float = MIN_EVIDENCE, seed: int = 7) -> Machine:
-    """Logistic loss, Adagrad steps over shuffled small batches. docs: row numbers into labels, ascending."""
+def fit_machine(docs: np.ndarray, cols: np.ndarray, labels: np.ndarray, known: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
+                seed: int = 7) -> Machine:
+    """Logistic loss, Adagrad steps over shuffled small batches. docs: rows of labels, ascending; cols: places in known."""
     n, rate = len(labels), float(labels.mean()) if len(labels) else 0.0
     none = Machine(float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    if rate in (0.0, 1.0):
-        return none
-    digest = np.zeros(n, np.uint64)
-    np.add.at(digest, docs, mixed(buckets.astype(np.uint64)))
-    _, first = np.unique(digest, return_index=True)
-    single = np.zeros(n, bool)
-    single[first] = True
-    known, inverse, count = np.unique(buckets, return_inverse=True, return_counts=True)
-    once = single[docs]
-    count = np.bincount(inverse[once], minlength=len(known))
-    toxic = np.bincount(inverse[once], labels[docs[once]], len(known))
-    keep = (count >= min_docs) & (evidence(toxic, count, float(labels[single].sum()), int(single.sum())) >= min_evidence)
-    known, renumber = known[keep], np.cumsum(keep) - 1
-    docs, cols = docs[keep[inverse]], renumber[inverse[keep[inverse]]]
-    if not len(known):
+    if rate in (0.0, 1.0) or not len(known):
         return none
     starts = np.searchsorted(docs, np.arange(n + 1))
     random = np.random.default_rng(seed)
@@ -163,36 +152,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_train: int = MAX_TRAIN) -> Machine:
-    """Train on a bounded sample of labelled rows; terms, not texts, come to the driver."""
-    sample = training_rows(docs, labels, id_col, text_col, label_col, max_train).toArrow().sort_by("place")
-    sizes = np.asarray(pc.list_value_length(sample["buckets"]), dtype=np.int64)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    buckets = sample["buckets"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(sizes) else np.zeros(0, np.int64)
-    return fit_machine(rows, buckets, np.asarray(sample["label"], dtype=float))
-
+        max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Machine:
+    """Train on a bounded sample of labelled rows. Spark counts the terms; only those with evidence come to the driver."""
+    rows = stored(training_rows(docs, labels, id_col, text_col, label_col, max_train).groupBy(F.xxhash64("buckets").alias("text_key"))
+                  .agg(F.min_by(F.struct("place", "label", "buckets"), "place").alias("r")).select("r.*"), "training")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    found = (rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+             .where(F.col("n") >= MIN_DOCS).withColumn("evidence", evidence(F.col("toxic"), F.col("n"), toxic, n)).where(F.col("evidence") >= MIN_EVIDENCE)
+             .orderBy(F.desc("evidence"), "bucket").limit(max_terms).select("bucket").toArrow())
+    known = np.sort(found["bucket"].to_numpy())
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(pc.list_value_length(batch["buckets"]), dtype=np.int64)
+            at = placed(known, batch["buckets"].flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(at >= 0)])[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["place"], batch["label"], pa.ListArray.from_arrays(pa.array(ends), pa.array(at[at >= 0].astype(np.int32)))], ["place", "label", "cols"])
+
+    sample = rows.mapInArrow(narrowed, "place long, label double, cols array<int>").toArrow().sort_by("place")
+    sizes = np.asarray(pc.list_value_length(sample["cols"]), dtype=np.int64)
+    cols = pc.list_flatten(sample["cols"]).to_numpy().astype(np.int64)
+    return fit_machine(np.repeat(np.arange(len(sizes)), sizes), cols, np.asarray(sample["label"], dtype=float), known)
+
+
+def _scored(docs: DataFrame, machine: Machine, columns: list[str], text_col: str, threshold: float) -> DataFrame:
+    """The columns as c0, c1, ..., then toxicity and toxic, row by row and without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+    names = [f"c{k}" for k in range(len(columns))]
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (),
-          threshold: float = THRESHOLD) -> DataFrame:
-    """The id, the columns of ``keep``, toxicity and toxic (0 or 1), row by row and without a shuffle.
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            row, at = terms(text_of(batch), known=model.value.buckets)
+            s = model.value.scores(row, at, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "toxicity", "toxic"])
 
-    The two result columns are named ``toxicity__`` and ``toxic__`` so that they do not clash with kept ones.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(machine)
-    columns = list(dict.fromkeys([id_col, *keep]))
+    carried = [F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]
+    schema = docs.select(*carried).schema.add("toxicity", "double").add("toxic", "integer")
+    return docs.select(*carried, F.col(text_col).alias("text")).mapInArrow(fn, schema)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text__"):
-            row, bucket = terms(text_of(batch, "text__"))
-            s = model.value.scores(row, bucket, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in columns), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, "toxicity__", "toxic__"])
 
-    kept = docs.select(*columns, F.col(text_col).alias("text__"))
-    schema = docs.select(*columns).schema.add("toxicity__", "double").add("toxic__", "integer")
-    return kept.mapInArrow(scored, schema)
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs: the id, toxicity (0 to 1) and toxic (1 from the threshold on, else 0)."""
+    return _scored(docs, machine, [id_col], text_col, threshold).withColumnRenamed("c0", id_col)
 
 
-def clean(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that are not scored toxic."""
-    return score(docs, machine, id_col, text_col, docs.columns, threshold).where("toxic__ = 0").select(*docs.columns)
+    kept = _scored(docs, machine, docs.columns, text_col, threshold).where("toxic = 0")
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
