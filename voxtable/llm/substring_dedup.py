@@ -29,7 +29,7 @@ WINDOW = 50
 GRAM = 8
 #: Bytes of text behind one bucket: about a million windows.
 BUCKET_BYTES = 6_000_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 #: How a missing id is ordered.
 NO_ID = -(1 << 63)
 

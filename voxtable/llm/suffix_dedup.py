@@ -187,10 +187,13 @@ def _by_code(replies: list[dict] | None) -> dict[int, np.ndarray]:
 
 
 def open_places(replies: list[dict] | None) -> np.ndarray:
-    """Places to cut further: their digit is shared by different spans, and no other holder of their span is cut."""
+    """Places to cut further: their digit is shared by different spans, and no other holder of their span is cut.
+
+    Equal rows get each other's replies, so a place may be the first holder and another one at once.
+    """
     codes = _by_code(replies)
     none = np.zeros(0, np.int64)
-    return np.setdiff1d(codes.get(SHARED, none), codes.get(AGAIN, none))
+    return np.setdiff1d(codes.get(SHARED, none), np.setdiff1d(codes.get(AGAIN, none), codes.get(FIRST, none)))
 
 
 def cut(place: np.ndarray, step: int, smaller: int) -> np.ndarray:
