@@ -254,6 +254,11 @@ def formatted_id(n, prefix: str = "R") -> Column:
     return F.format_string(f"{prefix}%06d", _col(n))
 
 
+def id_order(c="review_id") -> list[Column]:
+    """Sort keys of formatted ids: a shorter number is a smaller one, also beyond six digits."""
+    return [F.length(_col(c)), _col(c)]
+
+
 def percent_text(share, decimals: int = 1) -> Column:
     return F.concat(fixed(_col(share) * 100, decimals), F.lit("%"))
 

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
-from voxtable.sources.scratch import materialize
+from voxtable.sources.scratch import materialize, small
 
 
 def keep_first_copy(df: DataFrame, key: str = "text", order: str = "review_id") -> DataFrame:
     """One row per distinct ``key``: the one with the smallest ``order``.
 
-    An aggregate instead of a window: copies are combined before the shuffle, so a text that
-    fills a third of the corpus reaches its reducer as one row per map task. The shuffle key
-    is a digest, not the text.
+    Only digests and ids are aggregated, and combined before the shuffle, so a text that fills a
+    third of the corpus reaches its reducer as one row per map task. Texts are never sorted; they
+    meet the digests that have copies, a stored and counted table. ``order`` is unique.
     """
-    kept = df.groupBy(F.sha2(F.col(key), 256).alias("_digest")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(order)).alias("_row"))
-    return kept.select("_row.*")
+    digest = F.coalesce(F.sha2(F.col(key), 256), F.lit(""))
+    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(tx.id_order(order))])
+    per_text = df.select(digest.alias("_digest"), place.alias("_place")).groupBy("_digest").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    copied = materialize(per_text.where("_n > 1").select("_digest", "_first"), "copied")
+    marked = df.withColumn("_digest", digest).join(small(copied, copied.count()), "_digest", "left")
+    return marked.where(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
 
 
 def has_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -57,7 +60,7 @@ def clean_report(reviews: DataFrame) -> DataFrame:
         (F.col("text").isNotNull() & ~tx.is_blank("text") & length_between(normal)).alias("text_ok"),
         rating_between().alias("rating_ok"))
     per_text = flagged.groupBy("digest").agg(
-        F.count("*").alias("n"), F.min_by(F.coalesce("text_ok", F.lit(False)) & F.col("rating_ok"), "review_id").alias("ok"))
+        F.count("*").alias("n"), F.min_by(F.coalesce("text_ok", F.lit(False)) & F.col("rating_ok"), F.struct(F.length("review_id"), "review_id")).alias("ok"))
     total = per_text.agg(
         F.sum("n").alias("original_count"),
         F.count("*").alias("distinct_count"),

@@ -93,7 +93,7 @@ def term_ratings(reviews: DataFrame, terms) -> DataFrame:
 def reviews_with_term(reviews: DataFrame, term: str, limit: int = 5) -> DataFrame:
     """Case-insensitive pattern search; the term is a regular expression."""
     hits = reviews.where(F.coalesce(F.lower("text").rlike(term.lower()), F.lit(False)))
-    return hits.orderBy("review_id").limit(limit).select("text", "rating")
+    return hits.orderBy(*tx.id_order()).limit(limit).select("text", "rating")
 
 
 def reviews_with_word(reviews: DataFrame, term: str) -> DataFrame:
@@ -109,7 +109,7 @@ def cooccurring_words(reviews: DataFrame, terms, window: int = 5, top_n: int = 1
     """
     hits = term_occurrences(reviews, terms, "text")
     if reviews_per_term:
-        w = W.partitionBy("term").orderBy("review_id")
+        w = W.partitionBy("term").orderBy(*tx.id_order())
         hits = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= reviews_per_term)
     near = None
     for t in terms:
@@ -130,7 +130,7 @@ def examples_per_term(reviews: DataFrame, terms, m: int = 3) -> DataFrame:
     Only ids go through the ranking; the texts of the few winners are joined back.
     """
     hits = term_occurrences(reviews, terms)
-    w = W.partitionBy("term").orderBy("review_id")
+    w = W.partitionBy("term").orderBy(*tx.id_order())
     top = hits.withColumn("example", F.row_number().over(w)).where(F.col("example") <= m)
     out = reviews.join(F.broadcast(top), "review_id")  # at most m rows per listed term
     return out.select("term", "example", "review_id", "rating", tx.clean_excerpt("text", F.col("term")).alias("excerpt"))
@@ -139,7 +139,7 @@ def examples_per_term(reviews: DataFrame, terms, m: int = 3) -> DataFrame:
 def first_snippets(reviews: DataFrame, terms, limit: int = 3) -> DataFrame:
     """Snippet of the first matching review per term, the first ``limit`` terms in list order."""
     hits = term_occurrences(reviews, terms)
-    first = hits.groupBy("term").agg(F.min("review_id").alias("review_id"))
+    first = hits.groupBy("term").agg(F.min_by("review_id", F.struct(F.length("review_id"), "review_id")).alias("review_id"))
     ranks = literal_table(reviews.sparkSession, {"term": list(terms), "term_order": list(range(len(terms)))})
     chosen = ranks.join(first, "term").orderBy("term_order").limit(limit)
     out = reviews.join(F.broadcast(chosen), "review_id")  # at most ``limit`` rows

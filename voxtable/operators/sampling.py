@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxtable.functions import lexicons as lex
+from voxtable.functions import lexicons as lex, text as tx
 from voxtable.operators.cleaning import dense_index
 
 
@@ -51,8 +51,10 @@ def prefix(df: DataFrame, n: int, key: str = "review_id") -> DataFrame:
 
     Only the keys are sorted; the key at place n then filters the table where it lies.
     """
-    edge = dense_index(df.select(key), key).where(F.col("row_index") == n - 1).select(key).first()
-    return df if edge is None else df.where(F.col(key) <= edge[0])
+    edge = dense_index(df.select(key), *tx.id_order(key)).where(F.col("row_index") == n - 1).select(key).first()
+    if edge is None:
+        return df
+    return df.where((F.length(key) < len(edge[0])) | ((F.length(key) == len(edge[0])) & (F.col(key) <= edge[0])))
 
 
 def verification_sample(df: DataFrame, n: int = 100, order=None) -> DataFrame:

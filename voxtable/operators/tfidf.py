@@ -28,9 +28,6 @@ def counted_terms(docs: DataFrame, *keys: str, text: str = "text", stop_words=No
     return docs.select(*keys, tx.term_counts(tx.search_terms(text, stop_words)).alias("terms"))
 
 
-PRUNE_FROM = 1_000_000
-
-
 def _totals(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
@@ -74,8 +71,7 @@ def frequency_floor(totals: DataFrame, n: int) -> int:
 def vocabulary_table(docs: DataFrame, n_docs: int, max_features: int, key: str = "review_id",
                      stop_words=None) -> DataFrame:
     """The ``max_features`` most frequent terms (ties in term order) with df and idf."""
-    totals = (frequent_term_totals(docs, max_features, stop_words) if n_docs >= PRUNE_FROM
-              else term_totals(docs, key, stop_words))
+    totals = frequent_term_totals(docs, max_features, stop_words)
     top = totals.orderBy(F.desc("total"), "term").limit(max_features)
     return top.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
 
@@ -135,7 +131,7 @@ def score(postings: DataFrame, weights: DataFrame) -> DataFrame:
 
 def top_k(scored: DataFrame, k: int = 500) -> DataFrame:
     """Best k reviews per query; scores equal to 9 decimals go in review order."""
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), *tx.id_order())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -158,7 +154,7 @@ def retrieve_one(docs: DataFrame, terms: list[str], model: TfidfModel, k: int =
     per_doc = exploded.join(small(lookup, model.max_features), "term").groupBy("review_id").agg(
         F.sum(w * F.col("weight")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
     scored = per_doc.where(F.col("dot") > 0).select("review_id", (F.col("dot") / F.col("norm")).alias("score"))
-    return scored.orderBy(F.desc(F.round("score", 9)), "review_id").limit(k)
+    return scored.orderBy(F.desc(F.round("score", 9)), *tx.id_order()).limit(k)
 
 
 def matching_terms(reviews: DataFrame, terms: str = "terms", text: str = "text") -> DataFrame:

@@ -184,7 +184,7 @@ def _(d):
 SELECT row_index, review_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview
 FROM n WHERE row_index BETWEEN 30 AND 39""")
 def _(d):
-    numbered = cleaning.dense_index(d.reviews.select("review_id", "text"), "review_id")
+    numbered = cleaning.dense_index(d.reviews.select("review_id", "text"), *tx.id_order())
     return labeling.page(numbered, 30, 10).select("row_index", "review_id", "preview")
 
 
@@ -269,7 +269,7 @@ INDEXED = f"""indexed AS (SELECT *, row_number() OVER (ORDER BY review_id) - 1 A
 last AS (SELECT row_index, arg_max(verified_topic, file) AS v FROM verdicts GROUP BY row_index)
 SELECT row_index, review_id, coalesce(v, verified_topic) AS verified_topic FROM indexed FULL JOIN last USING (row_index)""")
 def _(d):
-    table = cleaning.dense_index(curated_from(d.labeled), "review_id")
+    table = cleaning.dense_index(curated_from(d.labeled), *tx.id_order())
     verdicts = corpus.read_verdict_batches(d.spark, write_batches(d))
     return labeling.apply_verdicts(table, verdicts, strict=False).select("row_index", "review_id", "verified_topic")
 
@@ -277,7 +277,7 @@ def _(d):
 @query("j04_unknown_verdicts", f"""WITH {REVIEWS}, {LABELED}, {CURATED}, {INDEXED}, {BATCHES}
 SELECT row_index, verified_topic FROM verdicts WHERE row_index NOT IN (SELECT row_index FROM indexed)""")
 def _(d):
-    table = cleaning.dense_index(curated_from(d.labeled).select("review_id"), "review_id")
+    table = cleaning.dense_index(curated_from(d.labeled).select("review_id"), *tx.id_order())
     return labeling.unknown_verdicts(table, corpus.read_verdict_batches(d.spark, write_batches(d))).select("row_index", "verified_topic")
 
 
@@ -285,7 +285,7 @@ def _(d):
 SELECT row_index, review_id, CASE WHEN l.quality = 1 THEN 'pricing' WHEN l.quality = 0 THEN 'support' ELSE verified_topic END AS verified_topic
 FROM indexed i LEFT JOIN labels l ON l.doc_id = i.row_index""")
 def _(d):
-    table = cleaning.dense_index(curated_from(d.labeled), "review_id")
+    table = cleaning.dense_index(curated_from(d.labeled), *tx.id_order())
     updates = d.table("labels").select(F.col("doc_id").alias("row_index"), F.when(F.col("quality") == 1, "pricing").otherwise("support")
                                        .alias("verified_topic"), F.lit("").alias("file"), F.lit(0).alias("position"))
     return labeling.apply_verdicts(table, updates).select("row_index", "review_id", "verified_topic")

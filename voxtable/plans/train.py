@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.operators import classifier, hmm, probability, sampling, sentiment, tfidf
+from voxtable.operators import classifier, hmm, probability, sentiment, tfidf
 from voxtable.operators.labeling import coerce_topic
 from voxtable.sources import models
 
 
-def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root: str, hmm_limit: int | None = 50_000, hmm_iterations: int = 100,
+def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root: str, hmm_iterations: int = 100,
               polarity: DataFrame | None = None, source: str = "corpus", with_index: bool = True) -> DataFrame:
     """``corpus`` has review_id, text, rating and sentences; ``labeled`` also topic_label.
 
@@ -35,11 +35,10 @@ def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root:
                                {"structure": "topic>sentiment>rating_category"}, {"n_cpds": 3})
     models.save_probabilities(tables, f"{root}/probabilities", meta)
 
-    chosen = sampling.prefix(corpus, hmm_limit) if hmm_limit else corpus
-    observed = sentiment.observations(chosen, polarity)
+    observed = sentiment.observations(corpus, polarity)
     sequence_model = hmm.fit(observed, max_iter=hmm_iterations)
     if sequence_model is not None:
-        meta = models.metadata_row(spark, "HMM", source, min(index.n_docs, hmm_limit or index.n_docs),
+        meta = models.metadata_row(spark, "HMM", source, index.n_docs,
                                    {"n_components": hmm.N_STATES, "n_iter": hmm_iterations},
                                    {"converged": sequence_model.converged, "iterations": sequence_model.iterations})
         models.save_hmm(spark, sequence_model, f"{root}/hmm", meta)

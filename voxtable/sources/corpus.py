@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from voxtable.functions import text as tx
 from voxtable.operators.labeling import known_topic
@@ -17,9 +18,9 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 
 def ingest_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw JSON lines -> text, rating, title, product_id. The schema names the four wanted
-    fields, so the others are never parsed into columns."""
+    fields, so the others are never parsed into columns. Ratings written as decimals are cut to integers."""
     raw = spark.read.schema(schemas.RAW).json(path)
-    return raw.select("text", "rating", "title", F.col("parent_asin").alias("product_id"))
+    return raw.select("text", F.col("rating").cast("int").alias("rating"), "title", F.col("parent_asin").alias("product_id"))
 
 
 def ingest_with_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -30,21 +31,25 @@ def ingest_with_ids(spark: SparkSession, path: str) -> DataFrame:
     the texts are neither sorted nor shuffled.
     """
     raw = spark.read.schema(schemas.RAW).json(path).select(
-        "text", "rating", "title", F.col("parent_asin").alias("product_id"),
+        "text", F.col("rating").cast("int").alias("rating"), "title", F.col("parent_asin").alias("product_id"),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"))
     splits = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     starts = materialize(splits.select("_file", "_block", (
         F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "split-starts")
-    numbered = raw.join(small(starts, starts.count()), ["_file", "_block"])
-    return numbered.select(tx.formatted_id(F.col("_row") + F.col("_shift")).alias("review_id"),
+    numbered = raw.join(small(starts, starts.count()), ["_file", "_block"], "left")
+    known = F.when(F.col("_shift").isNull(), F.raise_error(F.lit("the second read of the input was split differently"))).otherwise(F.col("_row") + F.col("_shift"))
+    return numbered.select(tx.formatted_id(known).alias("review_id"),
                            "text", "rating", "title", "product_id")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = schemas.REVIEW) -> DataFrame:
     """CSV with header and quoted multi-line fields."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    decimal = schema.replace("rating int", "rating double")
+    return spark.read.options(**CSV_OPTIONS).schema(decimal).csv(path).select(
+        *(F.col("rating").cast("int").alias("rating") if "rating int" in schema and f.name == "rating" else F.col(f.name)
+          for f in StructType.fromDDL(schema)))
 
 
 def read_table(spark: SparkSession, path: str, schema: str = schemas.REVIEW) -> DataFrame:
@@ -76,7 +81,7 @@ def load_reviews(spark: SparkSession, main: str, sample_path: str | None = None,
     chosen = path or (sample_path if sample else main)
     df = read_table(spark, chosen, schema)
     if limit:
-        df = df.orderBy("review_id").limit(limit)
+        df = df.orderBy(*tx.id_order()).limit(limit)
     return typed_reviews(df)
 
 
@@ -97,7 +102,7 @@ def load_labeled_reviews(spark: SparkSession, labeled_path: str, curated_path: s
 
 
 def training_set(labeled: DataFrame, dataset: str = "sample", n: int = 5000) -> DataFrame:
-    """First n labeled rows, or all of them."""
+    """First n labeled rows, or all of them. ``n`` bounds the rows that a classifier is fitted on."""
     rows = prefix(labeled, n) if dataset == "sample" else labeled
     return rows.withColumn("label", F.col("topic_label"))
 
@@ -111,7 +116,7 @@ def read_verdict_batches(spark: SparkSession, folder: str) -> DataFrame:
     df = spark.read.option("header", "true").schema(schemas.VERDICT).csv(f"{folder.rstrip('/')}/batch_*.csv")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"(batch_[^/]*\.csv)", 1)
     return df.select(F.col("index").alias("row_index"), "verified_topic", name.alias("file"),
-                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("position"))
+                     F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("position"))
 
 
 def read_term_cache(spark: SparkSession, path: str) -> DataFrame:

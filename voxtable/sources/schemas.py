@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-RAW = "text string, rating int, title string, parent_asin string"
+RAW = "text string, rating double, title string, parent_asin string"
 REVIEW = "review_id string, text string, rating int, title string, product_id string"
 TOKENIZED = REVIEW + ", sentences string, sentence_count int"
 LABELED = TOKENIZED + ", topic_label string, confidence_score int, matched_keywords string"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run here.
+
+    On a cluster a folder of this machine would be another one for each executor, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="voxtable-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
