@@ -26,8 +26,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column, 64-bit offsets, null read as empty."""
-    return pc.fill_null(batch[column].cast(pa.large_string()), "")
+    """The text column, null read as empty, with 64-bit offsets that begin at 0: some kernels misread those of slices."""
+    texts = pc.fill_null(batch[column].cast(pa.large_string()), "")
+    data, at = raw(texts)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(data))
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
