@@ -40,7 +40,7 @@ def eligible(observed: DataFrame, symbols: str = "symbols") -> DataFrame:
 
 
 def _expected_counts(start, trans, emit):
-    """Task function: scaled forward-backward over batches of symbol arrays."""
+    """Task function: scaled forward-backward over batches of symbol arrays, each standing for n sequences."""
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -48,13 +48,17 @@ def _expected_counts(start, trans, emit):
         pi, a, b = np.array(start), np.array(trans), np.array(emit)
         total = np.zeros(29)
         for batch in batches:
-            seqs = sorted(batch["symbols"].tolist(), key=len, reverse=True)
-            if not seqs:
+            if not len(batch):
                 continue
+            seqs, weight = batch["symbols"].tolist(), batch["n"].to_numpy(float)[:, None]
             lengths = np.array([len(s) for s in seqs])
-            steps, n = int(lengths[0]), len(seqs)
+            order = np.argsort(-lengths, kind="stable")
+            lengths, weight = lengths[order], weight[order]
+            steps = int(lengths[0])
+            padded = np.zeros((len(seqs), steps), np.int64)
+            padded[np.arange(steps) < lengths[:, None]] = np.concatenate([seqs[i] for i in order])
             active = [int((lengths > t).sum()) for t in range(steps)]  # sequences still running at t
-            obs = [np.array([s[t] for s in seqs[:active[t]]]) for t in range(steps)]
+            obs = [padded[:active[t], t] for t in range(steps)]
             alpha, scale = [], []
             for t in range(steps):
                 step = pi[None, :] if t == 0 else alpha[-1][:active[t]] @ a
@@ -62,20 +66,20 @@ def _expected_counts(start, trans, emit):
                 c = raw.sum(axis=1, keepdims=True)
                 alpha.append(raw / c)
                 scale.append(c)
-                total[27] += np.log(c).sum()
+                total[27] += (weight[:active[t]] * np.log(c)).sum()
             beta = np.ones((active[-1], N_STATES))
             for t in range(steps - 1, -1, -1):
                 if t < steps - 1:
                     nxt = beta * b[:, obs[t + 1]].T / scale[t + 1]
                     m = active[t + 1]
-                    total[3:12] += (a * (alpha[t][:m].T @ nxt)).ravel()
+                    total[3:12] += (a * ((weight[:m] * alpha[t][:m]).T @ nxt)).ravel()
                     beta = np.vstack([nxt @ a.T, np.ones((active[t] - m, N_STATES))])
-                gamma = alpha[t] * beta
+                gamma = weight[:active[t]] * alpha[t] * beta
                 for k in range(N_SYMBOLS):
                     total[12 + k:27:N_SYMBOLS] += gamma[obs[t] == k].sum(axis=0)
                 if t == 0:
                     total[0:3] += gamma.sum(axis=0)
-            total[28] += n
+            total[28] += weight.sum()
         yield pd.DataFrame([total], columns=[f"k{i}" for i in range(29)])
 
     return run
@@ -86,7 +90,8 @@ _SUMS = ", ".join(f"k{i} double" for i in range(29))
 
 def expected_counts(observed: DataFrame, model: HmmModel) -> DataFrame:
     """One row: 3 start, 9 transition and 15 emission sums, log-likelihood, sequence count."""
-    parts = observed.select("symbols").mapInPandas(_expected_counts(model.start, model.trans, model.emit), _SUMS)
+    weight = F.col("n") if "n" in observed.columns else F.lit(1).alias("n")
+    parts = observed.select("symbols", weight).mapInPandas(_expected_counts(model.start, model.trans, model.emit), _SUMS)
     return parts.agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(29)])
 
 
@@ -115,10 +120,10 @@ def fit(observed: DataFrame, max_iter: int = 100, tolerance: float = 0.01, init:
         relabel: bool = True) -> HmmModel | None:
     """Baum-Welch. No sequence of two or more symbols: no model.
 
-    The symbols are stored once in the shared folder, so a lost executor costs a re-read and
-    no pass depends on the lineage of the one before.
+    The symbols are stored once in the shared folder, equal sequences as one row with their number,
+    so a lost executor costs a re-read and no pass depends on the lineage of the one before.
     """
-    stored = materialize(eligible(observed).select("symbols"), "symbols")
+    stored = materialize(eligible(observed).groupBy("symbols").agg(F.count("*").alias("n")), "symbols")
     model, history = init, []
     while len(history) < max_iter:
         row = expected_counts(stored, model).first()

@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtable.functions import lexicons as lex
-from voxtable.operators import hmm, probability, tfidf
+from voxtable.operators import probability, tfidf
 from voxtable.plans import analyze
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
 from voxtable.plans.catalogue.probabilities import EVIDENCE, FOUR, INSIGHTS, evidence
-from voxtable.plans.catalogue.sequences import OBS, STATES, VITERBI, sequences_of
+from voxtable.plans.catalogue.sequences import TRAINED, VITERBI, sequences_of, trained_hmm
 from voxtable.plans.catalogue.topics import fitted
-from voxtable.sources.scratch import materialize
+from voxtable.sources import models
+from voxtable.sources.scratch import materialize, scratch_path
 
-TOP_K = 100
+TOP_K = 500
+_stored: dict = {}
+
+
+def stored_models(d: Tables) -> str:
+    """Folder of all models but the HMM, fitted and stored once per application and folder."""
+    key = (d.spark.sparkContext.applicationId, d.folder)
+    if key not in _stored:
+        root = scratch_path(d.spark, "models")
+        index = tfidf.fit(d.reviews)
+        models.save_tfidf(index, f"{root}/tfidf", None, tfidf.transform(d.reviews, index))
+        models.save_classifier(fitted(d), f"{root}/classifier")
+        models.save_probabilities(probability.fit(evidence(d)), f"{root}/probabilities")
+        _stored[key] = root
+    return _stored[key]
+
+
+def loaded_models(d: Tables) -> analyze.Models:
+    root = stored_models(d)
+    return analyze.Models(models.load_tfidf(d.spark, f"{root}/tfidf"), models.load_postings(d.spark, f"{root}/tfidf"),
+                          models.load_classifier(d.spark, f"{root}/classifier"), models.load_probabilities(d.spark, f"{root}/probabilities"),
+                          trained_hmm(d), synonyms=d.synonyms, term_cache=d.term_cache, polarity=d.polarity)
 
 
 def analysis_of(d: Tables) -> analyze.Analysis:
-    index = tfidf.fit(d.reviews)
-    models = analyze.Models(index, tfidf.transform(d.reviews, index), fitted(d), probability.fit(evidence(d)), hmm.START,
-                            synonyms=d.synonyms, term_cache=d.term_cache, polarity=d.polarity)
-    return analyze.analyze(d.queries, d.with_sentences, models, top_k=TOP_K, min_confidence=0.5)
+    """The whole job on models that were stored and loaded."""
+    return analyze.analyze(d.queries, d.with_sentences, loaded_models(d), top_k=TOP_K, min_confidence=0.5)
 
 
 ANALYSIS = f"""{INDEX}, {EXPANSION}, {FILTERED}, {score_ctes('filtered')}, {top_ctes('q_score', TOP_K)},
@@ -36,7 +56,7 @@ candidates AS MATERIALIZED (
 flagged AS (SELECT *, NOT bool_or(kept) OVER (PARTITION BY query_id) AS fallback_used FROM candidates),
 analysed AS (SELECT * FROM flagged WHERE kept OR fallback_used)"""
 
-SEQUENCES = f"{POLARITY}, {VITERBI}"
+SEQUENCES = f"{TRAINED.removeprefix(REVIEWS + ', ')}, {VITERBI}"
 
 
 @query("m13_analyze_candidates", f"""WITH {ANALYSIS} SELECT query_id, review_id, rank, predicted_topic, round(confidence, 6) AS confidence, kept, fallback_used FROM flagged""")

@@ -41,10 +41,10 @@ def _(d):
     return tfidf.score(postings, tfidf.query_weights(d.query_terms, model)).withColumn("score", r6("score"))
 
 
-RANKED = f"{INDEX}, {QUERY_TERMS}, {score_ctes('asked')}, {top_ctes('q_score', 100)}"
+RANKED = f"{INDEX}, {QUERY_TERMS}, {score_ctes('asked')}, {top_ctes('q_score', 500)}"
 
 
-def ranked_of(d: Tables, k: int = 100):
+def ranked_of(d: Tables, k: int = 500):
     model, postings = index_of(d)
     return tfidf.retrieve(postings, d.query_terms, model, k)
 

@@ -9,6 +9,8 @@ from voxtable.operators import hmm, sentiment
 from voxtable.plans import analyze
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
+from voxtable.sources import models
+from voxtable.sources.scratch import scratch_path
 
 SYMBOLS = f"{REVIEWS}, {POLARITY}"
 
@@ -125,21 +127,21 @@ def _lit(p: float) -> str:
     return f"({p!r})::DOUBLE" if p > float("-inf") else "'-inf'::DOUBLE"
 
 
-def viterbi_ctes(model: hmm.HmmModel) -> str:
-    """best_path(review_id, path): digits 0-2, one per sentence."""
-    emit = ["[" + ", ".join(_lit(hmm.log(p)) for p in row) + "]" for row in model.emit]
-    first = ", ".join(f"{_lit(hmm.log(model.start[j]))} + {emit[j]}[o] AS d{j}, '{j}' AS p{j}" for j in range(3))
-    into = lambda i, j: f"(v.d{i} + {_lit(hmm.log(model.trans[i][j]))})"
+def viterbi_ctes() -> str:
+    """best_path(review_id, path): digits 0-2, one per sentence, by the one-row model ``trained``."""
+    ln = lambda p: f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE '-inf'::DOUBLE END)"
+    first = ", ".join(f"{ln(f's{j}')} + {ln(f'b{j}[o]')} AS d{j}, '{j}' AS p{j}" for j in range(3))
+    into = lambda i, j: f"(v.d{i} + {ln(f'm.a{i}{j}')})"
     step = []
     for j in range(3):
         best = "greatest(" + ", ".join(into(i, j) for i in range(3)) + ")"
-        step.append(f"{best} + {emit[j]}[b.o] AS d{j}")
+        step.append(f"{best} + {ln(f'm.b{j}[b.o]')} AS d{j}")
         step.append(f"(CASE WHEN {into(0, j)} = {best} THEN v.p0 WHEN {into(1, j)} = {best} THEN v.p1 ELSE v.p2 END) || '{j}' AS p{j}")
     order = ["d0", "p0", "d1", "p1", "d2", "p2"]
     return f"""vit AS (
-  SELECT review_id, t, len, {first} FROM obs WHERE t = 0
+  SELECT review_id, t, len, {first} FROM obs, trained WHERE t = 0
   UNION ALL
-  SELECT b.review_id, b.t, b.len, {', '.join(step)} FROM vit v JOIN obs b ON b.review_id = v.review_id AND b.t = v.t + 1),
+  SELECT b.review_id, b.t, b.len, {', '.join(step)} FROM vit v JOIN obs b ON b.review_id = v.review_id AND b.t = v.t + 1, trained m),
 best_path AS (
   SELECT review_id, CASE WHEN d0 >= d1 AND d0 >= d2 THEN p0 WHEN d1 >= d2 THEN p1 ELSE p2 END AS path FROM vit WHERE t = len - 1),
 decoded AS (
@@ -148,14 +150,6 @@ decoded AS (
   FROM states s JOIN best_path b USING (review_id))"""
 
 
-VITERBI = f"{STATES}, {OBS}, {viterbi_ctes(hmm.START)}"
-
-
-@query("m09_viterbi", f"WITH RECURSIVE {SYMBOLS}, {VITERBI} SELECT review_id, array_to_string(states, '|') AS states FROM decoded")
-def _(d):
-    return sequences_of(d, hmm.START).select("review_id", joined("sentiment_states").alias("states"))
-
-
 def forward_ctes(k: int) -> str:
     """f{k}: scaled forward pass with the one-row parameters par{k}."""
     raw = ", ".join("(" + " + ".join(f"f.x{i} * p.a{i}{j}" for i in range(3)) + f") * p.b{j}[q.o] AS r{j}" for j in range(3))
@@ -210,23 +204,66 @@ def _(d):
     return hmm.parameter_table(d.spark, model).withColumn("p", r6("p"))
 
 
-@query("a15_hmm_converged")
+PASSES = 100  # as hmm.fit
+VALUES = ", ".join([f"s{i}" for i in range(3)] + [f"a{i}{j}" for i in range(3) for j in range(3)] + [f"b{i}" for i in range(3)])
+
+
+def named_ctes() -> str:
+    """trained: the one-row model with its states put in the order positive, negative, neutral by their mean symbol."""
+    mean = lambda i: "(" + " + ".join(f"{o} * b{i}[{o + 1}]" for o in range(5)) + ")"
+    order = "list_transform(list_sort([" + ", ".join(f"{{'m': {mean(i)}, 'i': {i}}}" for i in range(3)) + "]), lambda x: x.i)"
+    pick = lambda name: f"[{name}0, {name}1, {name}2]"
+    trans = "[" + ", ".join("[" + ", ".join(f"a{i}{j}" for j in range(3)) + "]" for i in range(3)) + "]"
+    new = [f"{pick('s')}[q[{i + 1}] + 1] AS s{i}" for i in range(3)]
+    new += [f"{trans}[q[{i + 1}] + 1][q[{j + 1}] + 1] AS a{i}{j}" for i in range(3) for j in range(3)]
+    new += [f"{pick('b')}[q[{i + 1}] + 1] AS b{i}" for i in range(3)]
+    return f"""ordered AS (SELECT *, [o[3], o[1], o[2]] AS q FROM (SELECT *, {order} AS o FROM final_par)),
+trained AS MATERIALIZED (SELECT converged, {', '.join(new)} FROM ordered)"""
+
+
+#: Full training: every pass unrolled, the first gain under the tolerance (0.01) or the last pass ends it.
+TRAINED = f"""{SYMBOLS}, {OBS}, {PAR0}, {', '.join(em_ctes(k) for k in range(PASSES))},
+gains AS (SELECT k, ll - lag(ll) OVER (ORDER BY k) AS gain FROM ({' UNION ALL '.join(f'SELECT {k} AS k, sum(ln(c)) AS ll FROM ff{k}' for k in range(PASSES))})),
+ended AS (SELECT coalesce(min(k) FILTER (gain < 0.01), {PASSES - 1}) + 1 AS n, true AS converged FROM gains),
+final_par AS (SELECT converged, {VALUES} FROM ended JOIN ({' UNION ALL '.join(f'SELECT {k} AS n, {VALUES} FROM par{k}' for k in range(1, PASSES + 1))}) USING (n)),
+{named_ctes()}"""
+
+VITERBI = f"{STATES}, {viterbi_ctes()}"
+_hmm_paths: dict = {}
+
+
+def trained_hmm(d: Tables) -> hmm.HmmModel:
+    """The model fitted on all documents, stored once per application and folder and read from its table."""
+    key = (d.spark.sparkContext.applicationId, d.folder)
+    if key not in _hmm_paths:
+        path = scratch_path(d.spark, "hmm")
+        models.save_hmm(d.spark, hmm.fit(observed_of(d)), path)
+        _hmm_paths[key] = path
+    return models.load_hmm(d.spark, _hmm_paths[key])
+
+
+@query("m09_viterbi", f"WITH RECURSIVE {TRAINED}, {VITERBI} SELECT review_id, array_to_string(states, '|') AS states FROM decoded")
 def _(d):
-    """Training until the gain is under the tolerance; rows only, SQL would need a step per pass."""
+    """Decoded with the trained, stored and loaded model."""
+    return sequences_of(d, trained_hmm(d)).select("review_id", joined("sentiment_states").alias("states"))
+
+
+@query("a15_hmm_converged", f"WITH RECURSIVE {TRAINED} SELECT kind, from_state, to_state, p, converged FROM trained, LATERAL (" + PARAMETERS.replace(" FROM par2", "") + ")")
+def _(d):
+    """Training until the gain is under the tolerance or PASSES passes are done."""
     model = hmm.fit(observed_of(d))
     return hmm.parameter_table(d.spark, model).select("kind", "from_state", "to_state", r6("p").alias("p"), F.lit(model.converged).alias("converged"))
 
 
-@query("a31_transition_matrix", f"WITH RECURSIVE {EM} " + "\nUNION ALL ".join(
-    f"SELECT '{s}' AS from_state, '{t}' AS to_state, round(a{i}{j}, 6) AS p FROM par2"
+@query("a31_transition_matrix", f"WITH RECURSIVE {TRAINED} " + "\nUNION ALL ".join(
+    f"SELECT '{s}' AS from_state, '{t}' AS to_state, round(a{i}{j}, 6) AS p FROM trained"
     for i, s in enumerate(lex.SENTIMENTS) for j, t in enumerate(lex.SENTIMENTS)))
 def _(d):
-    model = hmm.fit(observed_of(d), max_iter=2, relabel=False)
-    return hmm.transition_matrix(d.spark, model).withColumn("p", r6("p"))
+    return hmm.transition_matrix(d.spark, trained_hmm(d)).withColumn("p", r6("p"))
 
 
-@query("a33_sequence_score", f"""WITH RECURSIVE {SYMBOLS}, {OBS}, {PAR0}, {forward_ctes(0)}
+@query("a33_sequence_score", f"""WITH RECURSIVE {TRAINED}, par{PASSES + 1} AS (SELECT * FROM trained), {forward_ctes(PASSES + 1)}
 SELECT round(sum(ln(c)), 3) AS log_likelihood, count(*) FILTER (WHERE t = 0) AS n_sequences, count(*) AS n_symbols,
-  round(exp(-sum(ln(c)) / count(*)), 6) AS perplexity FROM f0""")
+  round(exp(-sum(ln(c)) / count(*)), 6) AS perplexity FROM f{PASSES + 1}""")
 def _(d):
-    return hmm.score(observed_of(d), hmm.START).withColumns({"log_likelihood": F.round("log_likelihood", 3), "perplexity": r6("perplexity")})
+    return hmm.score(observed_of(d), trained_hmm(d)).withColumns({"log_likelihood": F.round("log_likelihood", 3), "perplexity": r6("perplexity")})
