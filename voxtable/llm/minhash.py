@@ -2,8 +2,8 @@
 
 A text's set holds its distinct SHINGLE-word shingles, as 64-bit hashes. Texts of equal sets form one class; only
 classes are compared. Classes that agree on a band of ROWS MinHash values are candidates. They are not paired within a
-band's group: in each round every group tests its members against one leader, and a group is done when its members
-have one component or all have led. Groups of at most PAIRED classes test what is left between components at once.
+band's group: in each round every group tests its members against a few leaders, in the first against one, which
+settles most; a group is done when its members are one component or all have led. No pair is tested twice.
 
 A candidate pair's signatures are compared in batches of BATCH values. After each batch the similarity has a beta
 posterior (uniform prior); the pair is dropped when similarity >= the threshold is less likely than MISS. Pairs that
@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtable.llm.arrow import BASE, mixed, powers, prefix_sums, slices, span_hashes, text_of, word_hashes
 from voxtable.llm.components import roots
@@ -36,7 +36,8 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 BATCH = 24
 MISS = 1e-9
-PAIRED = 8
+#: Leaders of a group in a later round at most; the first round has one, each round 16 times as many.
+WIDEST = 4096
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,10 +183,18 @@ def tests(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
 
 
+def first_members(members: DataFrame, width: int) -> DataFrame:
+    """The first members of each band, cut in every partition before the shuffle."""
+    if width == 1:
+        return members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("m")).select("band", "m.*")
+    place = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+    return members.withColumn("place", place).where(F.col("place") <= width).select("band", "node", "n", "root")
+
+
 def unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """What is left of the bands whose members still have several roots, with the present roots and the band's size."""
+    """What is left of the bands whose members still have several roots, with the present roots."""
     rooted = members.select("band", "node", "n").join(label, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "members")
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     return stored(rooted.join(several, "band"), "members")
 
 
@@ -198,20 +207,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     # one row of each class; a class without any id is found by its null
     classes = stored(full.join(least.select(F.col("node").alias("own"), "least"), (F.col("node") == F.col("own")) & F.col("id").eqNullSafe(F.col("least")))
                      .select("node", "least", "n", "sketch", "bands").dropDuplicates(["node"]), "classes")
-    members, sets, links = grouped(classes), None, None
+    members, links = grouped(classes), None
     needed = members.select("node").distinct().join(classes.select("node", "least"), "node")
     sets = stored(rows.join(needed, F.col("id").eqNullSafe(F.col("least"))).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
                   .dropDuplicates(["node"]), "sets")
+    label, tested, width = roots(docs.sparkSession.createDataFrame([], "a long, b long")), None, 1
     while not members.isEmpty():
-        leaders = stored(members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("leader")).select("band", "leader.*"), "leaders")
-        found = similar(tests(leaders, members, percent), classes, sets, percent)
+        leaders = stored(first_members(members, width), "leaders")
+        pairs = tests(leaders, members, percent)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = similar(pairs, classes, sets, percent)
         links = found if links is None else links.unionByName(found)
-        members = unsettled(members.join(leaders.select("band", "node"), ["band", "node"], "left_anti"), roots(links))
-        small = members.where(F.col("members") <= PAIRED)
-        links = links.unionByName(similar(tests(small, small, percent), classes, sets, percent))
-        members = unsettled(members.where(F.col("members") > PAIRED), roots(links))
-    links = docs.sparkSession.createDataFrame([], "a long, b long") if links is None else links
-    label = roots(links)
+        label = roots(links)
+        members, width = unsettled(members.join(leaders.select("band", "node"), ["band", "node"], "left_anti"), label), min(16 * width, WIDEST)
     nodes = stored(classes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     parts = nodes.groupBy("root").agg(F.min("least").alias("component"))
     of_node = stored(nodes.join(parts, "root").select(F.col("node").alias("own"), "component"), "components")
