@@ -2,8 +2,8 @@
 
 A text's set holds its distinct SHINGLE-word shingles, as 64-bit hashes. Texts of equal sets form one class; only
 classes are compared. Classes that agree on a band of ROWS MinHash values are candidates. They are not paired within a
-band's group: in each round every group tests its members against a few leaders, in the first against one, which
-settles most; a group is done when its members are one component or all have led. No pair is tested twice.
+band's group: every group first tests its members against one leader, which makes most groups one component. Groups
+that stay in several are cut into blocks, and tasks compare blocks on signatures, giving survivors only.
 
 A candidate pair's signatures are compared in batches of BATCH values. After each batch the similarity has a beta
 posterior (uniform prior); the pair is dropped when similarity >= the threshold is less likely than MISS. Pairs that
@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxtable.llm.arrow import BASE, mixed, powers, prefix_sums, slices, span_hashes, text_of, word_hashes
 from voxtable.llm.components import roots
@@ -35,9 +35,9 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 24, 5
 BATCH = 24
-MISS = 1e-9
-#: Leaders of a group in a later round at most; the first round has one, each round 16 times as many.
-WIDEST = 4096
+MISS = 1e-5
+#: Members of a block of an unsettled group.
+BLOCK = 1000
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,16 +156,20 @@ def _verified(percent: int):
     return fn
 
 
-def similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """Of the pairs (a, b), those that are similar enough: pruned on sketches, verified on sets."""
+def with_sides(pairs: DataFrame, table: DataFrame, column: str, prefix: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{prefix}_{side}")), side)
+    return pairs.select("a", "b", f"{prefix}_a", f"{prefix}_b")
+
 
-    def with_sides(left: DataFrame, table: DataFrame, column: str, prefix: str) -> DataFrame:
-        for side in ("a", "b"):
-            left = left.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{prefix}_{side}")), side)
-        return left.select("a", "b", f"{prefix}_a", f"{prefix}_b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough."""
+    return stored(with_sides(stored(pairs, "survivors"), sets, "shingles", "set").mapInArrow(_verified(percent), "a long, b long"), "links")
 
-    left = with_sides(pairs, classes, "sketch", "sketch").mapInArrow(_pruned(percent / 100, miss), "a long, b long")
-    return stored(with_sides(stored(left, "survivors"), sets, "shingles", "set").mapInArrow(_verified(percent), "a long, b long"), "links")
+
+def similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """Of the pairs (a, b), those that are similar enough: pruned on sketches, verified on sets."""
+    return verified(with_sides(pairs, classes, "sketch", "sketch").mapInArrow(_pruned(percent / 100, miss), "a long, b long"), sets, percent)
 
 
 def grouped(classes: DataFrame) -> DataFrame:
@@ -183,12 +187,40 @@ def tests(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
 
 
-def first_members(members: DataFrame, width: int) -> DataFrame:
-    """The first members of each band, cut in every partition before the shuffle."""
-    if width == 1:
-        return members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("m")).select("band", "m.*")
-    place = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-    return members.withColumn("place", place).where(F.col("place") <= width).select("band", "node", "n", "root")
+def _compared(percent: int, miss: float):
+    """One pair of blocks of a band: the pairs of different roots that the sketches do not rule out."""
+
+    def fn(rows: pa.Table) -> pa.Table:
+        least = [least_matches(k, percent / 100, miss) for k in range(BATCH, BANDS * ROWS + 1, BATCH)]
+        node, n, root, part = (rows[c].to_numpy() for c in ("node", "n", "root", "part"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(node), -1)
+        one = rows["i"][0].as_py() == rows["j"][0].as_py()
+        side = part == rows["j"][0].as_py()
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.arange(len(node)) if one else np.flatnonzero(~side):
+            alive = np.flatnonzero((node > node[k] if one else side) & (root != root[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+            same = np.zeros(len(alive), np.int64)
+            for step, need in enumerate(least):
+                columns = slice(step * BATCH, (step + 1) * BATCH)
+                same += (sketch[alive, columns] == sketch[k, columns]).sum(1)
+                alive, same = alive[same >= need], same[same >= need]
+            found_a.append(np.minimum(node[alive], node[k]))
+            found_b.append(np.maximum(node[alive], node[k]))
+        return pa.table([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return fn
+
+
+def alike(members: DataFrame, classes: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
+    """Pairs of members of one band and of different roots that the sketches do not rule out.
+
+    Bands are cut into blocks of about BLOCK members; a task compares two blocks and gives the survivors only.
+    """
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "band").withColumn("part", F.pmod(F.hash("node"), F.col("blocks"))).join(classes.select("node", "sketch"), "node")
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "root", "sketch")
+    return dealt.groupBy("band", "i", "j").applyInArrow(_compared(percent, miss), "a long, b long").distinct()
 
 
 def unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -207,20 +239,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     # one row of each class; a class without any id is found by its null
     classes = stored(full.join(least.select(F.col("node").alias("own"), "least"), (F.col("node") == F.col("own")) & F.col("id").eqNullSafe(F.col("least")))
                      .select("node", "least", "n", "sketch", "bands").dropDuplicates(["node"]), "classes")
-    members, links = grouped(classes), None
+    members = grouped(classes)
     needed = members.select("node").distinct().join(classes.select("node", "least"), "node")
     sets = stored(rows.join(needed, F.col("id").eqNullSafe(F.col("least"))).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
                   .dropDuplicates(["node"]), "sets")
-    label, tested, width = roots(docs.sparkSession.createDataFrame([], "a long, b long")), None, 1
-    while not members.isEmpty():
-        leaders = stored(first_members(members, width), "leaders")
-        pairs = tests(leaders, members, percent)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = similar(pairs, classes, sets, percent)
-        links = found if links is None else links.unionByName(found)
+    leaders = stored(members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("m")).select("band", "m.*"), "leaders")
+    links = similar(tests(leaders, members, percent), classes, sets, percent)
+    label = roots(links)
+    members = unsettled(members.join(leaders.select("band", "node"), ["band", "node"], "left_anti"), label)
+    if not members.isEmpty():
+        links = links.unionByName(verified(alike(members, classes, percent), sets, percent))
         label = roots(links)
-        members, width = unsettled(members.join(leaders.select("band", "node"), ["band", "node"], "left_anti"), label), min(16 * width, WIDEST)
     nodes = stored(classes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     parts = nodes.groupBy("root").agg(F.min("least").alias("component"))
     of_node = stored(nodes.join(parts, "root").select(F.col("node").alias("own"), "component"), "components")
