@@ -90,7 +90,8 @@ class Bytes:
         p = self.at[doc] + place
         lo, hi = np.maximum(p - step + 1, self.at[doc]), np.minimum(p + length, self.at[doc + 1])
         span = self.hashes(lo, hi)
-        return self.hashes(p, p + length - step + 1), mixed(span ^ ((p - lo) << 32 | (hi - p)).astype(np.uint64))
+        # mixed once more: standing digits have the least hashes, which would all fall into the first buckets
+        return mixed(self.hashes(p, p + length - step + 1)), mixed(span ^ ((p - lo) << 32 | (hi - p)).astype(np.uint64))
 
 
 def _packed(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, digit: np.ndarray, span: np.ndarray, buckets: int, leaf: bool):
