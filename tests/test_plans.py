@@ -70,5 +70,7 @@ def test_single_query_uses_a_distributed_top_k(tables, index):
 
 
 def test_copies_are_combined_before_the_shuffle(tables):
-    text = plan(cleaning.keep_first_copy(tables.reviews))
-    assert "partial_min_by" in text and "Window" not in text
+    text = plan(cleaning.copied_texts(tables.reviews))
+    assert "partial_min" in text and "Window" not in text
+    text = plan(cleaning.keep_first_copy(tables.reviews))  # texts are neither aggregated nor sorted
+    assert "Aggregate" not in text and "Window" not in text

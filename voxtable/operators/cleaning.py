@@ -15,12 +15,24 @@ def keep_first_copy(df: DataFrame, key: str = "text", order: str = "review_id")
     third of the corpus reaches its reducer as one row per map task. Texts are never sorted; they
     meet the digests that have copies, a stored and counted table. ``order`` is unique.
     """
-    digest = F.coalesce(F.sha2(F.col(key), 256), F.lit(""))
-    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(tx.id_order(order))])
-    per_text = df.select(digest.alias("_digest"), place.alias("_place")).groupBy("_digest").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    copied = materialize(per_text.where("_n > 1").select("_digest", "_first"), "copied")
-    marked = df.withColumn("_digest", digest).join(small(copied, copied.count()), "_digest", "left")
-    return marked.where(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
+    copied = materialize(copied_texts(df, key, order), "copied")
+    marked = df.withColumn("_digest", _digest(key)).join(small(copied, copied.count()), "_digest", "left")
+    return marked.where(F.col("_first").isNull() | (F.col("_first") == _place(order))).select(*df.columns)
+
+
+def _digest(key: str) -> Column:
+    return F.coalesce(F.sha2(F.col(key), 256), F.lit(""))
+
+
+def _place(order: str) -> Column:
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(tx.id_order(order))])
+
+
+def copied_texts(df: DataFrame, key: str = "text", order: str = "review_id") -> DataFrame:
+    """Digest and first place of every text that occurs more than once."""
+    per_text = df.select(_digest(key).alias("_digest"), _place(order).alias("_place")).groupBy("_digest").agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    return per_text.where("_n > 1").select("_digest", "_first")
 
 
 def has_text(df: DataFrame, text: str = "text") -> DataFrame:
