@@ -201,6 +201,24 @@ def test_suffix_dedup_segments(monkeypatch, spark):
     assert {x["doc_id"]: x["n_removed"] for x in found} == {i: sum(f) for i, f in flags.items()}
 
 
+def test_suffix_dedup_segment_borders(monkeypatch, spark):
+    """A place that stands for strings on both sides of a segment border is one place, not its own repeat."""
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = part(700)
+    rows = [(1, part(5000)), (2, part(2000) + shared + part(1500)), (3, part(450)), (4, part(250) + shared), (5, part(3100))]
+    data = suffix_dedup.Bytes(*_raw(rows))
+    for step in (200, 25, 1):
+        whole = data.places(400, step)
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "SEGMENT", 500)
+            assert all(np.array_equal(a, b) for a, b in zip(whole, data.places(400, step), strict=True)), step
+    flags = brute.removed_bytes(rows, 400)
+    found = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), segment=500).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in found} == {i: sum(f) for (i, _), f in zip(rows, flags, strict=True)}
+    assert sum(map(sum, flags)) == 1400
+
+
 def _raw(rows):
     import pyarrow as pa
 

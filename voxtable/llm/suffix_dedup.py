@@ -57,18 +57,25 @@ class Bytes:
     def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return span_hashes(self.prefix, lo, hi, self.scale)
 
-    def places(self, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Standing places: text, place in it, first and last start of the strings that they stand for."""
+    def places(self, length: int, step: int, segment: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Standing places, each once: text, place in it, first and last start of the strings that they stand for."""
+        segment = segment or SEGMENT
         out = []
-        for d in np.flatnonzero(self.size >= length) if len(self.data) > 2 * SEGMENT else [None]:
+        for d in np.flatnonzero(self.size >= length) if len(self.data) > 2 * segment else [None]:
             if d is None:
                 out.append(self._places(0, len(self.data), length, step, self.at))
             else:
-                for a in range(int(self.at[d]), int(self.at[d + 1]) - length + 1, SEGMENT):
-                    b = min(a + SEGMENT + length - 1, int(self.at[d + 1]))
+                for a in range(int(self.at[d]), int(self.at[d + 1]) - length + 1, segment):
+                    b = min(a + segment + length - 1, int(self.at[d + 1]))
                     doc, place, lo, hi = self._places(a, b, length, step, np.array([a, b]))
                     out.append((doc + d, place + a - self.at[d], lo + a - self.at[d], hi + a - self.at[d]))
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 4
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        doc, place, lo, hi = map(np.concatenate, zip(*out, strict=True))
+        # the last strings of a segment and the first of the next one mostly have the same place
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(doc) != 0)]))[:len(place)]
+        last = np.concatenate([first[1:], [len(place)]])[:len(first)] - 1
+        return doc[first], place[first], lo[first], hi[last]
 
     def _places(self, a: int, b: int, length: int, step: int, at: np.ndarray):
         digit = length - step + 1
@@ -202,11 +209,11 @@ def cut(place: np.ndarray, step: int, smaller: int) -> np.ndarray:
     return np.unique((place[:, None] - np.arange(0, step, smaller)).ravel())
 
 
-def _first_pass(length: int, step: int, buckets: int):
+def _first_pass(length: int, step: int, buckets: int, segment: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             b = Bytes(*raw(text_of(batch)))
-            doc, place, _, _ = b.places(length, step)
+            doc, place, _, _ = b.places(length, step, segment)
             if len(doc):
                 yield from _packed(batch["id"].to_numpy(zero_copy_only=False), batch["text_key"].to_numpy(zero_copy_only=False), doc, place,
                                    *b.digits(doc, place, length, step), buckets, step == 1)
@@ -214,7 +221,7 @@ def _first_pass(length: int, step: int, buckets: int):
     return fn
 
 
-def _next_pass(length: int, step: int, smaller: int, buckets: int, first: bool):
+def _next_pass(length: int, step: int, smaller: int, buckets: int, first: bool, segment: int):
     """Cuts the open places of each text; after the first pass into what each place stands for only."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +229,7 @@ def _next_pass(length: int, step: int, smaller: int, buckets: int, first: bool):
             b = Bytes(*raw(text_of(batch)))
             docs, places = [], []
             if first:
-                doc, place, lo, hi = b.places(length, step)
+                doc, place, lo, hi = b.places(length, step, segment)
                 begin = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for k, replies in enumerate(batch["replies"].to_pylist()):
                 found = open_places(replies)
@@ -278,12 +285,13 @@ def _applied(length: int, steps: tuple[int, ...], as_text: bool):
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, steps: tuple[int, ...] = STEPS,
-          keep: list[str] = (), as_text: bool = False) -> DataFrame:
+          keep: list[str] = (), as_text: bool = False, segment: int = SEGMENT) -> DataFrame:
     """One row per row of docs: the id, n_bytes, n_removed, removed (byte intervals), kept_bytes, and the columns of keep.
 
     The columns of keep are returned as keep_0, keep_1, ... With as_text there is kept_text in place of kept_bytes:
     without what is left of characters that were cut.
     steps: strings behind a place after each pass, falling to 1, each a divisor of the one before, the first <= length.
+    segment: bytes of a text in which places are found at once; it does not change the result.
     """
     spark = docs.sparkSession
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
@@ -298,9 +306,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         own = replies.groupBy(F.col("id").alias("reply_id"), F.col("text_key").alias("reply_key")).agg(F.collect_list(F.struct("level", "code", "places")).alias("replies"))
         return rows.join(own, (F.col("id") == F.col("reply_id")) & (F.col("text_key") == F.col("reply_key")), how).select("id", "text_key", "text", "replies", *columns)
 
-    found = [counted(rows.select("id", "text_key", "text").mapInArrow(_first_pass(length, steps[0], buckets), PACKED), 0)]
+    found = [counted(rows.select("id", "text_key", "text").mapInArrow(_first_pass(length, steps[0], buckets, segment), PACKED), 0)]
     for level, (step, smaller) in enumerate(zip(steps, steps[1:], strict=False), 1):
-        found.append(counted(met(found[-1], "inner").mapInArrow(_next_pass(length, step, smaller, buckets, level == 1), PACKED), level))
+        found.append(counted(met(found[-1], "inner").mapInArrow(_next_pass(length, step, smaller, buckets, level == 1, segment), PACKED), level))
     replies = found[0]
     for more in found[1:]:
         replies = replies.unionByName(more)
