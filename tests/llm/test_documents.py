@@ -176,6 +176,21 @@ def test_substring_dedup(docs, rows, unique, window):
     assert found[None][0][1] == 0
 
 
+def test_substring_dedup_repeated_row_in_two_batches(spark):
+    """A row beside a smaller id that holds some of its windows, and once more in another partition."""
+    r = random.Random(6)
+    part = lambda n: [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+    a, b, c, d = part(60), part(90), part(90), part(60)
+    small, other, text = " ".join(a + part(20)), " ".join(part(20) + c), " ".join(a + b + c + d)
+    batches = [[(1, small), (9, text)], [(9, text)], [(2, other)]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(batches, 3).flatMap(list), "doc_id long, text string")
+    assert docs.rdd.glom().map(len).collect() == [2, 1, 1]
+    flags = brute.removed_words([(1, small), (2, other), (9, text)])[9]
+    w = text.split(" ")
+    found = by_id(substring_dedup.dedup(docs), "n_removed", "kept_text")
+    assert found[9] == [(sum(flags), " ".join(x for x, g in zip(w, flags, strict=True) if not g))] * 2 and sum(flags) == 150
+
+
 @pytest.mark.parametrize("length,steps", [(400, (200, 25, 1)), (60, (20, 5, 1)), (30, (1,))])
 def test_suffix_dedup(docs, rows, length, steps):
     found = by_id(suffix_dedup.dedup(docs, length=length, steps=steps), "n_bytes", "n_removed", "kept_bytes", "removed")

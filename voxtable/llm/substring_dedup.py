@@ -37,7 +37,7 @@ REPLY = "id long, text_key long, bucket int, firsts array<int>, lengths array<in
 
 
 def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and length of the runs of consecutive numbers in an ascending array."""
+    """First and length of the runs of consecutive numbers in an array."""
     if not len(at):
         return at, at
     cut = np.flatnonzero(np.diff(at) != 1) + 1
@@ -81,7 +81,10 @@ def _lists(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
 
 
 def _forward(window: int, buckets: int):
-    """Map side: rows of bucket, texts (ids and keys) with their number of hashes, hashes; or settled windows of a text."""
+    """Map side: rows of bucket, texts (ids and keys) with their number of hashes, hashes, places; or settled windows of a text.
+
+    Places count all windows of the text in the bucket, also the settled ones, which are others in other batches.
+    """
     names = ["bucket", "ids", "keys", "counts", "hashes", "firsts", "lengths"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +105,17 @@ def _forward(window: int, buckets: int):
             again = np.zeros(len(ids), bool)
             again[row[1:]] = (np.diff(ids[row]) == 0) & (np.diff(keys[row]) == 0)
             out = []
-            live = np.flatnonzero(~settled & ~again[doc])
-            bucket = bucket_of_all[live]
-            by = np.argsort(bucket, kind="stable")
-            live, bucket = live[by], bucket[by]
+            own = np.flatnonzero(~again[doc])
+            own = own[np.argsort(bucket_of_all[own], kind="stable")]
+            bucket = bucket_of_all[own]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(doc[own]) != 0)]))
+            place = np.arange(len(own)) - np.repeat(new, np.diff(np.concatenate([new, [len(own)]])))
+            left = ~settled[own]
+            live, bucket, place = own[left], bucket[left], place[left]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 texts, sizes = runs_of_equal(doc[live[a:b]])
-                out.append((int(bucket[a]), ids[texts], keys[texts], sizes, hashes[live[a:b]].tobytes(), None, None))
+                out.append((int(bucket[a]), ids[texts], keys[texts], sizes, hashes[live[a:b]].tobytes(), *runs(place[a:b])))
             local = np.flatnonzero(settled & ~again[doc])
             texts, sizes = runs_of_equal(doc[local])
             ends = np.cumsum(sizes)
@@ -133,7 +139,7 @@ def runs_of_equal(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(rows: pa.Table) -> pa.Table:
-    """One bucket: which hashes start in a text of smaller id too; their places among the text's hashes in the bucket."""
+    """One bucket: which hashes start in a text of smaller id too; their places among the text's windows in the bucket."""
     kind = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("bucket", pa.int32()), ("firsts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
     settled = rows.filter(pc.is_null(rows["hashes"]))
     done = pa.table([pc.list_flatten(settled["ids"]), pc.list_flatten(settled["keys"]), pa.nulls(settled.num_rows, pa.int32()), settled["firsts"], settled["lengths"]], schema=kind)
@@ -142,6 +148,7 @@ def _counted(rows: pa.Table) -> pa.Table:
         return done
     ids, keys, counts = (pc.list_flatten(rows[c]).to_numpy() for c in ("ids", "keys", "counts"))
     hashes = np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64)
+    places = spread_runs(*(pc.list_flatten(rows[c]).to_numpy() for c in ("firsts", "lengths")))
     run = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     order = np.argsort(hashes)
     head = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
@@ -150,7 +157,7 @@ def _counted(rows: pa.Table) -> pa.Table:
     hit = np.sort(order[owner > least])
     if not len(hit):
         return done
-    which, place = run[hit], hit - np.repeat(np.cumsum(counts) - counts, counts)[hit]
+    which, place = run[hit], places[hit]
     # runs of places, broken where the text changes
     cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(which) != 0)) + 1
     at = np.concatenate([[0], cut])
@@ -165,19 +172,11 @@ def _counted(rows: pa.Table) -> pa.Table:
 def _marked(buckets: np.ndarray, replies: list[dict]) -> np.ndarray:
     """Flags of the repeated windows of one text, given each window's bucket."""
     flags = np.zeros(len(buckets), bool)
-    rest = []
+    by = np.argsort(buckets, kind="stable")
+    ordered = buckets[by]
     for r in replies:
-        if r["bucket"] is None:
-            flags[spread_runs(np.array(r["firsts"]), np.array(r["lengths"]))] = True
-        else:
-            rest.append(r)
-    if rest:
-        live = np.flatnonzero(~flags)
-        bucket = buckets[live]
-        by = np.argsort(bucket, kind="stable")
-        live, bucket = live[by], bucket[by]
-        for r in rest:
-            flags[live[np.searchsorted(bucket, r["bucket"]) + spread_runs(np.array(r["firsts"]), np.array(r["lengths"]))]] = True
+        at = spread_runs(np.array(r["firsts"]), np.array(r["lengths"]))
+        flags[at if r["bucket"] is None else by[np.searchsorted(ordered, r["bucket"]) + at]] = True
     return flags
 
 
