@@ -158,6 +158,21 @@ def test_minhash_clean_leaves_one_of_repeated_rows(docs):
     assert kept.count(9) == 1 and 14 not in kept
 
 
+def test_clean_judges_rows_of_null_and_shared_ids(spark):
+    """One row of each component, though ids are null or shared; a failing row goes, though a row of its id passes."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+    a, b, c, d = (words(120) for _ in range(4))
+    near = lambda w, k: " ".join([*w[:-k], *words(k)])
+    texts = [(1, near(a, 1)), (None, near(a, 2)), (None, near(b, 1)), (None, near(b, 2)), (None, " ".join(d)), (7, near(c, 1)), (7, near(c, 2)), (8, near(c, 3))]
+    left = [(x["doc_id"], x["text"]) for x in minhash.clean(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    heads = sorted((str(i), t.split(" ")[0]) for i, t in left)
+    assert heads == sorted([("1", a[0]), ("None", b[0]), ("None", d[0]), ("7", c[0])]) and set(left) <= set(texts)
+    rows = [(None, " ".join(a), None), (None, "too short", None), (3, " ".join(b), "h"), (3, "short too", "h"), (4, " ".join(c), None)]
+    left = quality_rules.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_host_rate=0.9).collect()
+    assert {tuple(x) for x in left} == {rows[0], rows[2], rows[4]} and len(left) == 3
+
+
 def test_posterior_bound():
     assert minhash.least_matches(24, 0.85, 1e-9) < minhash.least_matches(24, 0.85, 1e-3) < 24
     assert minhash.least_matches(120, 0.85, 0.5) in range(98, 106)

@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.llm.arrow import BASE, mixed, powers, prefix_sums, slices, span_hashes, text_of, word_hashes
 from voxtable.llm.components import roots
@@ -72,8 +72,8 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n", "node", "sketch", "bands"]
     for batch in slices(batches, "text"):
+        passed = [c for c in batch.schema.names if c != "text"]
         hashes, starts = shingle_sets(text_of(batch))
         n = np.diff(starts)
         full = np.flatnonzero(n > 0)
@@ -94,7 +94,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             sketches = pa.array(sketch, pa.binary())
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), node, sketches, bands], names)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(n), node, sketches, bands], [*passed, "n", "node", "sketch", "bands"])
 
 
 def node_ids(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -232,8 +232,18 @@ def unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept."""
+    features, of_node = _parts(docs, id_col, text_col, percent)
+    done = features.join(of_node, features["node"] == of_node["own"], "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
+    kind = docs.schema[id_col].dataType
+    return done.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, percent: int, **keys: Column) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, with long columns keys of docs; root and least id (component) of each class (own)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = stored(rows.mapInArrow(_features, "id long, n long, node long, sketch binary, bands array<long>"), "features")
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in keys.items()))
+    features = stored(read.mapInArrow(_features, "id long, " + "".join(f"{k} long, " for k in keys) + "n long, node long, sketch binary, bands array<long>"), "features")
     full = features.where(F.col("node").isNotNull())
     least = full.groupBy("node").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     # one row of each class; a class without any id is found by its null
@@ -252,16 +262,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
         label = roots(links)
     nodes = stored(classes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     parts = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = stored(nodes.join(parts, "root").select(F.col("node").alias("own"), "component"), "components")
-    done = features.join(of_node, features["node"] == of_node["own"], "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    kind = docs.schema[id_col].dataType
-    return done.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return features, stored(nodes.join(parts, "root").select(F.col("node").alias("own"), "root", "component"), "components")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that are kept; of repeated rows one."""
-    kept = dedup(docs, id_col, text_col, percent).where("kept").groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    """The rows of docs, all columns, that are kept: one of each component and, of rows without words, one of each id and text.
+
+    A component's row is that of its least id; of several texts of that id, or where all ids are null, of the least text
+    digest. Rows are found again by id and text digest.
+    """
+    features, of_node = _parts(docs, id_col, text_col, percent, text_key=F.xxhash64(text_col))
+    rows = features.join(of_node, features["node"] == of_node["own"], "left").groupBy("root", "id", "text_key").agg(F.count("*").alias("kept_rows"))
+    alone = F.col("root").isNull()
+    kept = (rows.groupBy("root", F.when(alone, F.col("id")).alias("own_id"), F.when(alone, F.col("text_key")).alias("own_key"))
+            .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"), "kept_rows")).alias("m")).select("m.*"))
     kept = stored(kept, "kept")
-    left = docs.join(kept.select("kept_id"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    same = docs[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs[text_col]) == kept["kept_key"])
+    left = docs.join(kept, same, "left_semi")
     return left if kept.where("kept_rows > 1").isEmpty() else left.dropDuplicates([id_col, text_col])

@@ -77,9 +77,9 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        values = measures(text_of(batch))
+        values, passed = measures(text_of(batch)), [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], batch["host"], *(pa.array(v.astype(np.int64)) for v in values)], ["id", "host", *MEASURES])
+            [*(batch[c] for c in passed), *(pa.array(v.astype(np.int64)) for v in values)], [*passed, *MEASURES])
 
 
 def fails(n_words: Column, n_repeat_words: Column) -> Column:
@@ -123,17 +123,25 @@ def beta_prior(hosts: int, n: int, failed: int, squares: float, between: float)
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
            max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per row of docs: the id, MEASURES, base_failed, host_rate, host_rejected, kept."""
-    measured = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(
-        _measured, f"id {docs.schema[id_col].dataType.simpleString()}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+    return _assessed(docs, id_col, text_col, host_col, max_host_rate).select(F.col("id").alias(id_col), *MEASURES, "base_failed", "host_rate", "host_rejected", "kept")
+
+
+def _assessed(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_host_rate: float, **keys: Column) -> DataFrame:
+    """As assess, with id for the id, and long columns keys of docs."""
+    measured = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in keys.items())).mapInArrow(
+        _measured, f"id {docs.schema[id_col].dataType.simpleString()}, host string, " + ", ".join(f"{m} long" for m in [*keys, *MEASURES]))
     judged = materialize(measured.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"))), "judged")
     hosts = host_rates(judged).select("host", F.col("shrunk_rate").alias("host_rate"))
     rejected = F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
     return judged.join(hosts, "host", "left").select(
-        F.col("id").alias(id_col), *MEASURES, "base_failed", "host_rate", rejected.alias("host_rejected"),
+        "id", *keys, *MEASURES, "base_failed", "host_rate", rejected.alias("host_rejected"),
         (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, whose id is kept (a null id counts as one id)."""
-    kept = assess(docs, **options).where("kept").select(F.col(options.get("id_col", "doc_id")).alias("kept_id")).distinct()
-    return docs.join(kept, docs[options.get("id_col", "doc_id")].eqNullSafe(kept["kept_id"]), "left_semi")
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs, all columns, that are kept; a row is found again by its id and the digests of its text and host."""
+    keys = {"text_key": F.xxhash64(text_col), "host_key": F.xxhash64(F.col(host_col).cast("string"))}
+    kept = _assessed(docs, id_col, text_col, host_col, max_host_rate, **keys).where("kept").select(
+        F.col("id").alias("kept_id"), F.col("text_key").alias("kept_text"), F.col("host_key").alias("kept_host")).distinct()
+    same = (F.xxhash64(docs[text_col]) == kept["kept_text"]) & (F.xxhash64(docs[host_col].cast("string")) == kept["kept_host"])
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]) & same, "left_semi")
