@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtable.llm import (
-    bpe, chat_format, embedding_dedup, minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc)
+    bpe, chat_format, embedding_dedup, hard_negatives, minhash, packing, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, warc,
+    whitening)
 from voxtable.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict = {}
@@ -108,3 +109,25 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.dedup(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document: pattern matches and what the network adds."""
+    found = secrets.find(table(spark, folder, "documents"))
+    counts = [secrets.count_of("base", name).alias(f"n_{name}") for name in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.spans_text(F.concat("base", "found")).alias("spans"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings")).drop("deviation_text")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the anchors, after every seventh label has been made wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)

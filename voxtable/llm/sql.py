@@ -85,5 +85,19 @@ sized AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN best <> page_id THEN best END AS refers_to FROM sized"""
 
+NEGATIVES = """
+WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT p.id AS a, q.id AS b, p.label = q.label AS same, list_dot_product(p.e, q.e)::BIGINT AS score
+    FROM v p JOIN v q ON p.id <> q.id AND len(p.e) = len(q.e) WHERE p.id % 100 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM pairs WHERE same),
+asked AS (SELECT a, b AS positive_id, score AS positive_score FROM best WHERE place <= 5),
+found AS (
+    SELECT a AS anchor_id, positive_id, row_number() OVER (PARTITION BY a, positive_id ORDER BY score DESC, b)::INTEGER AS rank, b AS negative_id, positive_score, score AS negative_score
+    FROM asked JOIN pairs USING (a) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM found WHERE rank <= 10"""
+
 SQL = {"op1_chat_format": CHAT, "op2_embedding_dedup": EMBEDDING, "op3_quality_rules": QUALITY, "op5_minhash": MINHASH,
-       "op7_substring_dedup": SUBSTRING, "op8_warc": WARC}
+       "op7_substring_dedup": SUBSTRING, "op8_warc": WARC, "op13_hard_negatives": NEGATIVES}
