@@ -212,7 +212,7 @@ def polynomial(spark: SparkSession, matrix: np.ndarray) -> list[int]:
 
     asked = spark.createDataFrame(pd.DataFrame({"prime": primes})).repartition(min(len(primes), 64))
     product, out = 1, [0] * (d + 1)
-    for row in asked.mapInPandas(fn, "prime long, coefficients array<long>").orderBy("prime").collect():
+    for row in asked.mapInPandas(fn, "prime long, coefficients array<long>").collect():
         p = row["prime"]
         inverse = pow(product, -1, p)
         out = [x + product * ((r - x) * inverse % p) for x, r in zip(out, row["coefficients"], strict=True)]
@@ -323,8 +323,8 @@ def components_of(spark: SparkSession, matrix: np.ndarray, found: list[tuple[int
             yield pd.DataFrame({"place": frame["place"], "vectors": [s.ravel().tolist() for s in spaces]})
 
     asked = spark.createDataFrame([(k, str(r), m) for k, (r, m) in enumerate(found)], "place int, root string, multiplicity int")
-    done = asked.repartition(len(found)).mapInPandas(fn, "place int, vectors array<double>").orderBy("place").collect()
-    return np.concatenate([np.reshape(r["vectors"], (-1, len(matrix))) for r in done])
+    done = asked.repartition(len(found)).mapInPandas(fn, "place int, vectors array<double>").collect()
+    return np.concatenate([np.reshape(r["vectors"], (-1, len(matrix))) for r in sorted(done)])
 
 
 def fit(vectors: DataFrame, components: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> Fit | None:
