@@ -299,3 +299,27 @@ def test_crc_of_pieces(docs):
     row = packing.pack(docs, WORD_BPE).select("ids", F.crc32("ids").alias("c")).first()
     assert zlib.crc32(bytes(row["ids"])) == row["c"]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def crowded(seed: int, n: int, own: int) -> list[tuple[int, str]]:
+    """Texts that share 100 words and have ``own`` words each of their own."""
+    r = random.Random(seed)
+    shared = [f"w{r.randrange(10 ** 6)}" for _ in range(100)]
+    return [(k, " ".join([*shared, *(f"v{r.randrange(10 ** 6)}" for _ in range(own))])) for k in range(n)]
+
+
+@pytest.mark.parametrize(("own", "parts"), [(2, 1), (12, 3000)])
+def test_minhash_rows_grow_with_members(spark, monkeypatch, own, parts):
+    """3000 near copies become one component and 3000 alike but unlinked texts none; neither gives rows by pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 700)
+    given, inner = [], minhash.alike
+
+    def counted(*args, **more):
+        found = inner(*args, **more)
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "alike", counted)
+    docs = spark.createDataFrame(crowded(own, 3000, own), "doc_id long, text string").repartition(8)
+    found = minhash.dedup(docs).collect()
+    assert len({r["component_id"] for r in found}) == parts and sum(given) <= 3000 * minhash.BANDS

@@ -3,7 +3,7 @@
 A text's set holds its distinct SHINGLE-word shingles, as 64-bit hashes. Texts of equal sets form one class; only
 classes are compared. Classes that agree on a band of ROWS MinHash values are candidates. They are not paired within a
 band's group: every group first tests its members against one leader, which makes most groups one component. Groups
-that stay in several are cut into blocks, and tasks compare blocks on signatures, giving survivors only.
+that stay in several are cut into blocks; tasks compare and verify two blocks at a time and give a spanning set of links.
 
 A candidate pair's signatures are compared in batches of BATCH values. After each batch the similarity has a beta
 posterior (uniform prior); the pair is dropped when similarity >= the threshold is less likely than MISS. Pairs that
@@ -36,8 +36,11 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 BATCH = 24
 MISS = 1e-5
-#: Members of a block of an unsettled group.
-BLOCK = 1000
+#: Members of a block of an unsettled group, and bytes of their sets.
+BLOCK = 2000
+BLOCK_BYTES = 8 << 20
+#: Sets that are verified together.
+VERIFY = 64
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,40 +190,68 @@ def tests(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
 
 
-def _compared(percent: int, miss: float):
-    """One pair of blocks of a band: the pairs of different roots that the sketches do not rule out."""
+def _linked(percent: int, miss: float):
+    """One pair of blocks of a band: links that hold together all that is similar in them, at most one less than their members.
+
+    A pair is looked at in the first band it shares, while its two sides still have different roots.
+    """
 
     def fn(rows: pa.Table) -> pa.Table:
         least = [least_matches(k, percent / 100, miss) for k in range(BATCH, BANDS * ROWS + 1, BATCH)]
         node, n, root, part = (rows[c].to_numpy() for c in ("node", "n", "root", "part"))
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(node), -1)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        earlier = int(np.flatnonzero(bands[0] == rows["band"][0].as_py())[0])
+        hashes = np.frombuffer(b"".join(rows["shingles"].to_pylist()), np.uint64)
+        ends = np.cumsum(n)
+        codes = np.unique(hashes, return_inverse=True)[1]
+        has = np.zeros(len(hashes), np.int64)
+        label = np.unique(root, return_inverse=True)[1]
         one = rows["i"][0].as_py() == rows["j"][0].as_py()
         side = part == rows["j"][0].as_py()
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        links = []
         for k in np.arange(len(node)) if one else np.flatnonzero(~side):
-            alive = np.flatnonzero((node > node[k] if one else side) & (root != root[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+            alive = np.flatnonzero((node > node[k] if one else side) & (label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+            alive = alive[~(bands[alive, :earlier] == bands[k, :earlier]).any(1)]
             same = np.zeros(len(alive), np.int64)
             for step, need in enumerate(least):
                 columns = slice(step * BATCH, (step + 1) * BATCH)
                 same += (sketch[alive, columns] == sketch[k, columns]).sum(1)
                 alive, same = alive[same >= need], same[same >= need]
-            found_a.append(np.minimum(node[alive], node[k]))
-            found_b.append(np.maximum(node[alive], node[k]))
-        return pa.table([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            own = codes[ends[k] - n[k]:ends[k]]
+            has[own] = 1
+            alive = alive[np.argsort(-same, kind="stable")]
+            for a in range(0, len(alive), VERIFY):
+                some = alive[a:a + VERIFY]
+                some = some[label[some] != label[k]]
+                if len(some):
+                    upto = np.cumsum(n[some])
+                    places = np.arange(upto[-1]) + np.repeat(ends[some] - upto, n[some])
+                    both = np.add.reduceat(has[codes[places]], upto - n[some])
+                    for other in some[100 * both >= percent * (n[some] + n[k] - both)]:
+                        if label[other] != label[k]:
+                            links.append((min(node[k], node[other]), max(node[k], node[other])))
+                            label[label == label[other]] = label[k]
+            has[own] = 0
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return fn
 
 
-def alike(members: DataFrame, classes: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
-    """Pairs of members of one band and of different roots that the sketches do not rule out.
+def alike(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
+    """Links (a, b) that join the roots of members which a band has together and whose full sets are similar enough.
 
-    Bands are cut into blocks of about BLOCK members; a task compares two blocks and gives the survivors only.
+    Bands are cut into blocks of about BLOCK members and BLOCK_BYTES of sets; a task takes two blocks with their sets, so
+    the links that come out grow with the members, not with their pairs.
     """
-    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "band").withColumn("part", F.pmod(F.hash("node"), F.col("blocks"))).join(classes.select("node", "sketch"), "node")
+    many = F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)
+    blocks = members.groupBy("band").agg(F.ceil(many).cast("int").alias("blocks"))
+    placed = members.join(blocks, "band").withColumn("part", F.pmod(F.hash("node"), F.col("blocks")))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "root", "sketch")
-    return dealt.groupBy("band", "i", "j").applyInArrow(_compared(percent, miss), "a long, b long").distinct()
+    dealt = (other.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "root")
+             .join(classes.select("node", "sketch", "bands"), "node").join(sets, "node"))
+    return dealt.groupBy("band", "i", "j").applyInArrow(_linked(percent, miss), "a long, b long").distinct()
 
 
 def unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -258,7 +289,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, percent: int, **keys: Co
     label = roots(links)
     members = unsettled(members.join(leaders.select("band", "node"), ["band", "node"], "left_anti"), label)
     if not members.isEmpty():
-        links = links.unionByName(verified(alike(members, classes, percent), sets, percent))
+        links = links.unionByName(stored(alike(members, classes, sets, percent), "more_links"))
         label = roots(links)
     nodes = stored(classes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     parts = nodes.groupBy("root").agg(F.min("least").alias("component"))
