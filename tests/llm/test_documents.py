@@ -121,6 +121,35 @@ def test_packing(docs, rows):
     assert sum(p["length"] for p in pieces) == sum(count(t) for _, t, _ in rows)
 
 
+def test_harmonic_bins():
+    """Bins of class k hold k whole documents; only fillers of gaps are cut; what is given out and what is held cover all tokens."""
+    r = np.random.default_rng(1)
+    for most in (5, 100, 5000, 20000):
+        for _ in range(40):
+            n = r.integers(1, most, r.integers(0, 300))
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            full, rest = packing.whole(n, at[:-1], 4096)
+            placed, into, offset, held = packing.harmonic(rest)
+            for b in range(into.max(initial=-1) + 1):
+                own = np.flatnonzero(into == b)
+                own = own[np.argsort(offset[own])]
+                assert (offset[own] == np.cumsum(placed.length[own]) - placed.length[own]).all() and placed.length[own].sum() == 4096
+                first = placed.length[own[0]]
+                k = 4096 // first
+                assert (4096 // placed.length[own[:k]] == k).all() and (placed.length[own[:k]] == n[placed.row[own[:k]]] % 4096).all()
+            every = packing.joined([full, placed, held])
+            order = np.argsort(every.first)
+            assert (every.first[order] == np.cumsum(every.length[order]) - every.length[order]).all() and every.length.sum() == n.sum()
+            assert (every.first - at[every.row] == every.start).all()
+            assert len(placed.row) + len(held.row) <= len(rest.row) + 2 * (into.max(initial=-1) + 1) + 1
+
+
+def test_packing_pieces_a_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    pieces = packing.pack(docs, WORD_BPE).groupBy("doc_id").count()
+    assert pieces.agg({"count": "avg"}).first()[0] < 2
+
+
 def test_packing_words_beyond_the_table(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 5)
     import pyarrow as pa

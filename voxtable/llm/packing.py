@@ -1,10 +1,11 @@
 """Harmonic packing of tokenized documents into sequences of CAPACITY tokens.
 
-Piece lengths fall into reciprocal-capacity classes: class k holds lengths of CAPACITY / k, and k such pieces fill a
-sequence. A document is cut so that each piece lies exactly on a class border: whole sequences first, then the powers
-of two of what is left, largest first. Each task fills the bins of each class on its own, always with the fixed number
-of pieces, so there is no shuffle and no shared state. What is left open at the end of a task (under one bin a class)
-is laid out by falling length; every such sequence is full too or ends at a power of two, so nothing is padded.
+Whole sequences are cut off a document first; what is left goes whole into its reciprocal-capacity class: class k takes
+lengths in (CAPACITY / (k + 1), CAPACITY / k], and a bin of the class holds k of them. Each task fills the bins of every
+class on its own, always with the fixed number, so there is no shuffle and no shared state. A full bin's gap is filled
+with the task's shortest documents, end to end; only these are cut, at most once a gap. What is open when a batch ends is
+held for the next one (under one bin a class); what is open when the task ends is laid end to end and cut into whole
+sequences and the powers of two of the rest, so nothing is padded.
 
 Defined cases: null or empty text is one end token; a very long text gives many whole sequences; equal documents are
 packed each; null ids are passed on; an empty table gives no rows; other columns are not read.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,13 @@ from voxtable.llm.arrow import coded, slices, text_of, words_of
 
 CAPACITY = 4096
 END = 2
-#: Words whose ids a task keeps; when full, only those of the batch at hand stay.
+#: Words whose ids a Python worker keeps; when full, only those of the batch at hand stay.
 CACHED_WORDS = 600_000
 #: Words that the tokenizer takes at once.
 GROUP = 20_000
 BATCH_BYTES = 8_000_000
+#: Tokens of a batch that a task gives out.
+OUT_TOKENS = 16_000_000
 #: Sequence numbers that one task may use.
 PER_TASK = 1 << 33
 
@@ -89,41 +94,96 @@ class WordIds:
         return gather(ids, first[index], lengths), np.concatenate([[0], np.cumsum(lengths)])[starts + np.arange(len(starts))]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table of words for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[first[0]:first[0] + size[0]], values[first[1]:...], ... end to end."""
     ends = np.cumsum(size)
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
 
 
-def pieces(n: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and length of the pieces of documents of n tokens, by document and start."""
-    whole = n // capacity
-    row = np.repeat(np.arange(len(n)), whole)
-    rows, starts, lengths = [row], [(np.arange(len(row)) - np.repeat(np.cumsum(whole) - whole, whole)) * capacity], [np.full(len(row), capacity)]
-    length = capacity // 2
-    while length:
-        at = np.flatnonzero(n & length)
-        rows.append(at)
-        starts.append(n[at] & ~(2 * length - 1))
-        lengths.append(np.full(len(at), length))
-        length //= 2
-    row, start, length = map(np.concatenate, (rows, starts, lengths))
-    order = np.lexsort([start, row])
-    return row[order], start[order], length[order]
-
-
-def layout(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
-    """Bin number and offset of power-of-two lengths in falling order: bins of capacity, the last rest by powers of two."""
-    bins, offsets, left, total = [], [], 0, sum(lengths)
-    room, at, number = 0, 0, -1
-    for size in lengths:
-        if at == room:
-            left = total - (sum(lengths[:len(bins)]))
-            room, at, number = (capacity if left >= capacity else 1 << (left.bit_length() - 1)), 0, number + 1
-        bins.append(number)
-        offsets.append(at)
-        at += size
-    return bins, offsets
+@dataclass
+class Pieces:
+    """Pieces of documents: row of the document, start in it, length, and where the ids lie in the task's flat array."""
+
+    row: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(self.row[at], self.start[at], self.length[at], self.first[at])
+
+    def part(self, of: np.ndarray, skip: np.ndarray, length: np.ndarray) -> Pieces:
+        """Parts of the pieces ``of``: what follows their first ``skip`` tokens."""
+        return Pieces(self.row[of], self.start[of] + skip, length, self.first[of] + skip)
+
+
+def joined(parts: list[Pieces]) -> Pieces:
+    return Pieces(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "start", "length", "first")))
+
+
+def whole(n: np.ndarray, at: np.ndarray, capacity: int) -> tuple[Pieces, Pieces]:
+    """Whole sequences of documents of n tokens that begin at ``at``, and what is left of each document."""
+    count, row = n // capacity, np.arange(len(n))
+    full = np.repeat(row, count)
+    skip = (np.arange(len(full)) - np.repeat(np.cumsum(count) - count, count)) * capacity
+    every = Pieces(row, np.zeros(len(n), np.int64), n, at)
+    rest = n - count * capacity
+    some = np.flatnonzero(rest)
+    return every.part(full, skip, np.full(len(full), capacity)), every.part(some, (count * capacity)[some], rest[some])
+
+
+def laid(stream: Pieces, room: np.ndarray) -> tuple[Pieces, np.ndarray, np.ndarray, Pieces]:
+    """Lay pieces end to end into rooms, cut at their ends: the parts, the room of each, the offset in it, and what is left over."""
+    ends, rooms = np.cumsum(stream.length), np.cumsum(room)
+    total = int(rooms[-1]) if len(rooms) else 0
+    cuts = np.unique(np.concatenate([ends[ends < total], rooms]))
+    begin = np.concatenate([[0], cuts[:-1]])[:len(cuts)]
+    of, into = np.searchsorted(ends, begin, "right"), np.searchsorted(rooms, begin, "right")
+    parts = stream.part(of, begin - (ends - stream.length)[of], cuts - begin)
+    left = np.flatnonzero(ends > total)
+    skip = np.maximum(total - (ends - stream.length)[left], 0)
+    return parts, into, begin - (rooms - room)[into], stream.part(left, skip, stream.length[left] - skip)
+
+
+def full_bins(length: np.ndarray, sums: np.ndarray, begins: np.ndarray, fillers: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For pieces by rising length, without the first ``fillers``: each class's first piece, k, number of full bins, and all gaps."""
+    at = np.maximum(begins[:-1], fillers)
+    k = capacity // length[begins[:-1]]
+    bins = np.maximum(begins[1:] - at, 0) // k
+    return at, k, bins, int((bins * capacity).sum() - (sums[at + bins * k] - sums[at]).sum())
+
+
+def harmonic(pieces: Pieces, capacity: int = CAPACITY) -> tuple[Pieces, np.ndarray, np.ndarray, Pieces]:
+    """Fill all bins that get their number: pieces, bin and offset of each, and what is left over."""
+    p = pieces.take(np.argsort(pieces.length, kind="stable"))
+    classes = capacity // p.length
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1, [len(classes)]]) if len(classes) else np.zeros(1, np.int64)
+    sums = np.concatenate([[0], np.cumsum(p.length)])
+    # the fewest of the shortest pieces that fill the gaps of the others' bins
+    low, high = 0, len(p.length)
+    while low < high:
+        mid = (low + high) // 2
+        if sums[mid] >= full_bins(p.length, sums, begins, mid, capacity)[3]:
+            high = mid
+        else:
+            low = mid + 1
+    at, k, bins, _ = full_bins(p.length, sums, begins, low, capacity)
+    taken = np.repeat(at, bins * k) + np.arange((bins * k).sum()) - np.repeat(np.cumsum(bins * k) - bins * k, bins * k)
+    into = np.repeat(np.arange(bins.sum()), np.repeat(k, bins))
+    first = np.flatnonzero(np.diff(into, prepend=-1))
+    used = np.add.reduceat(p.length[taken], first) if len(first) else np.zeros(0, np.int64)
+    offset = sums[taken] - sums[taken[first]][into] if len(first) else taken
+    parts, gap, inside, left = laid(p.take(np.arange(low)), capacity - used)
+    rest = np.ones(len(p.length), bool)
+    rest[:low] = False
+    rest[taken] = False
+    return joined([p.take(taken), parts]), np.concatenate([into, gap]), np.concatenate([offset, used[gap] + inside]), joined([p.take(np.flatnonzero(rest)), left])
 
 
 OUT = ["start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -137,35 +197,40 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number = WordIds(tokenizer), TaskContext.get().partitionId() * PER_TASK
-        held: dict[int, list] = {}
-
-        def out(rows: list) -> pa.RecordBatch:
-            ids, *rest = zip(*rows, strict=True)
-            kinds = [id_type, *[pa.int64()] * 5, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([ids, *rest], kinds, strict=True)], ["id", *OUT])
+        words, number = word_ids(tokenizer), TaskContext.get().partitionId() * PER_TASK
+        none = np.zeros(0, np.int64)
+        open_ids, open_n, open_flat, held = None, none, np.zeros(0, np.uint32), Pieces(none, none, none, none)
+
+        def out(p: Pieces, ids: pa.Array, n: np.ndarray, flat: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for some in np.split(np.arange(len(p.row)), np.flatnonzero(np.diff(np.cumsum(p.length) // OUT_TOKENS)) + 1):
+                if len(some):
+                    own = p.take(some)
+                    ends = np.concatenate([[0], np.cumsum(4 * own.length)]).astype(np.int32)
+                    data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(gather(flat, own.first, own.length).astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(own.row)), *(pa.array(x.astype(np.int64)) for x in (own.start, own.length, n[own.row], sequence[some], offset[some])), data], ["id", *OUT])
 
-        id_type = pa.int64()
         for batch in slices(batches, "text", BATCH_BYTES):
-            id_type, ids = batch["id"].type, batch["id"].to_pylist()
             flat, at = words.batch(text_of(batch))
-            n = np.diff(at)
-            data = flat.astype("<u4").tobytes()
-            done: list = []
-            for row, start, length in zip(*(x.tolist() for x in pieces(n, capacity)), strict=True):
-                a = 4 * (int(at[row]) + start)
-                open_bin = held.setdefault(length, [])
-                open_bin.append((ids[row], start, length, int(n[row]), data[a:a + 4 * length]))
-                if len(open_bin) * length == capacity:
-                    done += [(*p[:4], number, k * length, p[4]) for k, p in enumerate(open_bin)]
-                    number += 1
-                    open_bin.clear()
-            if done:
-                yield out(done)
-        rest = [p for length in sorted(held, reverse=True) for p in held[length]]
-        if rest:
-            bins, offsets = layout([p[2] for p in rest], capacity)
-            yield out([(*p[:4], number + b, o, p[4]) for p, b, o in zip(rest, bins, offsets, strict=True)])
+            long, rest = whole(np.diff(at), at[:-1], capacity)
+            # what was open comes first: its rows and ids are put before those of the batch
+            ids = batch["id"] if open_ids is None else pa.concat_arrays([open_ids, batch["id"]])
+            n, flat = np.concatenate([open_n, np.diff(at)]), np.concatenate([open_flat, flat])
+            for p in (long, rest):
+                p.row, p.first = p.row + len(open_n), p.first + len(open_flat)
+            yield from out(long, ids, n, flat, number + np.arange(len(long.row)), np.zeros(len(long.row), np.int64))
+            number += len(long.row)
+            placed, into, offset, held = harmonic(joined([held, rest]), capacity)
+            yield from out(placed, ids, n, flat, number + into, offset)
+            number += int(into.max(initial=-1)) + 1
+            rows, held.row = np.unique(held.row, return_inverse=True)
+            open_ids, open_n, open_flat = ids.take(pa.array(rows)), n[rows], gather(flat, held.first, held.length)
+            held.first = np.cumsum(held.length) - held.length
+        left = int(held.length.sum())
+        if left:
+            room = np.array([capacity] * (left // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (left % capacity) >> b & 1])
+            placed, into, offset, _ = laid(held.take(np.argsort(-held.length, kind="stable")), room)
+            yield from out(placed, open_ids, open_n, open_flat, number + into, offset)
 
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(packed, f"id {kind}, " + ", ".join(f"{c} long" for c in OUT[:-1]) + ", ids binary").withColumnRenamed("id", id_col))
