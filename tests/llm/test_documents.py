@@ -291,20 +291,32 @@ def test_suffix_clean_keeps_columns(docs):
     assert cleaned.schema.names == docs.schema.names and cleaned.count() == docs.count()
 
 
-def test_toxicity_learns_pairs(spark):
-    """Insults and group names are harmless alone; only together they are toxic."""
+@pytest.mark.parametrize(("rule", "n"), [(int.__and__, 1200), (int.__xor__, 3000)])
+def test_toxicity_learns_pairs(spark, rule, n):
+    """Insults and group names say little alone (and) or nothing at all (xor); only together they decide."""
     r = random.Random(4)
     rows, labels = [], []
-    for k in range(1200):
+    for k in range(n):
         insult, group = k % 2, (k // 2) % 2
         w = [f"w{r.randrange(300)}" for _ in range(30)] + ["Nasty!"] * insult + ["martians"] * group
         r.shuffle(w)
         rows.append((k, " ".join(w)))
-        labels.append((k, insult & group))
+        labels.append((k, rule(insult, group)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    machine = toxicity.fit(docs, spark.createDataFrame(labels[:900], "doc_id long, toxic int"))
+    machine = toxicity.fit(docs, spark.createDataFrame(labels[:-300], "doc_id long, toxic int"))
     got = {x["doc_id"]: x["toxic"] for x in toxicity.score(docs, machine, threshold=0.5).collect()}
-    assert sum(got[k] == y for k, y in labels[900:]) >= 0.95 * 300
+    assert sum(got[k] == y for k, y in labels[-300:]) >= 0.95 * 300
+
+
+def test_registered_toxicity_on_held_out_rows(spark):
+    from voxtable.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    labels = {x["doc_id"]: x["toxic"] for x in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = [x for x in queries.QUERIES["op9_toxicity"](spark, folder).collect() if x["held_out"] and labels.get(x["doc_id"]) is not None]
+    assert all(x["predicted"] == (x["score"] >= 0.3) for x in found)
+    toxic, clean = ([x["predicted"] for x in found if labels[x["doc_id"]] == y] for y in (1, 0))
+    assert np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.02
 
 
 def test_toxicity_edges(spark, docs, rows):

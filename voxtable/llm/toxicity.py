@@ -3,7 +3,9 @@
 A text's terms are its lower-cased words without outer punctuation and their PREFIXES, each once, hashed to BUCKETS. The score is the
 logistic of bias + sum of term weights + sum over term pairs of the dot product of their factors, so that a pair such
 as an insult with a group mention can weigh more than its parts. Terms of fewer than MIN_DOCS training texts have no
-weight; only learned buckets are stored, so the model's size is bounded by the training sample.
+weight. A term is learnt if it is related with the label alone, or together with another of the PAIR_TERMS commonest terms
+more than either is alone, so a term that says nothing by itself is learnt with the one that makes it matter; all others are
+noise to so small a sample. Only learned buckets are stored, so the model's size is bounded by the training sample.
 
 The sample is at most MAX_TRAIN labelled rows, taken by a hash order of the id. Everything else covers all rows.
 
@@ -31,8 +33,13 @@ MAX_TRAIN = 12_000
 #: Learnt terms at most, those with most evidence.
 MAX_TERMS = 50_000
 MIN_DOCS = 5
-#: Terms whose relation with the label is weaker than that (log-likelihood ratio) are not learnt; equal texts count once.
+#: Terms whose relation with the label is weaker than that (log-likelihood ratio) are learnt only as part of a pair; equal
+#: texts count once.
 MIN_EVIDENCE = 15.0
+#: The commonest terms, of which all pairs are tried, and how much more evidence a pair has than either of its terms.
+PAIR_TERMS = 2048
+PAIR_EVIDENCE = 40.0
+PAIR_ROWS = 2000
 EPOCHS = 10
 BATCH = 128
 RATE = 0.08
@@ -98,6 +105,40 @@ def evidence(toxic: Column, count: Column, all_toxic: float, n: int) -> Column:
     return 2 * sum(F.when(seen > 0, seen * F.log(seen * n / expected)).otherwise(0.0) for seen, expected in cells)
 
 
+def related(toxic: np.ndarray, count: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
+    """``evidence`` of arrays."""
+    total = np.zeros(np.shape(count))
+    for seen, expected in ((toxic, all_toxic * count), (count - toxic, (n - all_toxic) * count), (all_toxic - toxic, all_toxic * (n - count)),
+                           (n - count - all_toxic + toxic, (n - all_toxic) * (n - count))):
+        some = seen > 0
+        total[some] += 2 * seen[some] * np.log(seen[some] * n / expected[some])
+    return total
+
+
+def paired(docs: np.ndarray, cols: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Which terms are related with the label together with another one, by PAIR_EVIDENCE more than either is alone.
+
+    docs, cols: distinct (row of labels, term) pairs by row. Texts with both terms are counted by products of 0/1 matrices.
+    """
+    n, all_toxic = len(labels), float(labels.sum())
+    both, bad = np.zeros((terms, terms), np.float32), np.zeros((terms, terms), np.float32)
+    for a in range(0, n, PAIR_ROWS):
+        lo, hi = np.searchsorted(docs, [a, a + PAIR_ROWS])
+        x = np.zeros((min(PAIR_ROWS, n - a), terms), np.float32)
+        x[docs[lo:hi] - a, cols[lo:hi]] = 1
+        both += x.T @ x
+        x = x[labels[a:a + PAIR_ROWS] > 0]
+        bad += x.T @ x
+    own = related(bad.diagonal().astype(float), both.diagonal().astype(float), all_toxic, n)
+    found = np.zeros(terms, bool)
+    for a in range(0, terms, 256):
+        part = slice(a, a + 256)
+        strong = related(bad[part].astype(float), both[part].astype(float), all_toxic, n) - np.maximum(own[part, None], own) >= PAIR_EVIDENCE
+        found[part] |= strong.any(1)
+        found |= strong.any(0)
+    return found
+
+
 def fit_machine(docs: np.ndarray, cols: np.ndarray, labels: np.ndarray, known: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
                 seed: int = 7) -> Machine:
     """Logistic loss, Adagrad steps over shuffled small batches. docs: rows of labels, ascending; cols: places in known."""
@@ -151,16 +192,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             .mapInArrow(found, "place long, label double, buckets array<long>"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Machine:
-    """Train on a bounded sample of labelled rows. Spark counts the terms; only those with evidence come to the driver."""
-    rows = stored(training_rows(docs, labels, id_col, text_col, label_col, max_train).groupBy(F.xxhash64("buckets").alias("text_key"))
-                  .agg(F.min_by(F.struct("place", "label", "buckets"), "place").alias("r")).select("r.*"), "training")
-    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    found = (rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-             .where(F.col("n") >= MIN_DOCS).withColumn("evidence", evidence(F.col("toxic"), F.col("n"), toxic, n)).where(F.col("evidence") >= MIN_EVIDENCE)
-             .orderBy(F.desc("evidence"), "bucket").limit(max_terms).select("bucket").toArrow())
-    known = np.sort(found["bucket"].to_numpy())
+def learnable(rows: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the training rows: (row, place of the known term) pairs, and the rows' labels."""
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +204,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = rows.mapInArrow(narrowed, "place long, label double, cols array<int>").toArrow().sort_by("place")
     sizes = np.asarray(pc.list_value_length(sample["cols"]), dtype=np.int64)
-    cols = pc.list_flatten(sample["cols"]).to_numpy().astype(np.int64)
-    return fit_machine(np.repeat(np.arange(len(sizes)), sizes), cols, np.asarray(sample["label"], dtype=float), known)
+    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(sample["cols"]).to_numpy().astype(np.int64), np.asarray(sample["label"], dtype=float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Machine:
+    """Train on a bounded sample of labelled rows. Spark counts the terms; only those with evidence, alone or in pairs, come to the driver."""
+    rows = stored(training_rows(docs, labels, id_col, text_col, label_col, max_train).groupBy(F.xxhash64("buckets").alias("text_key"))
+                  .agg(F.min_by(F.struct("place", "label", "buckets"), "place").alias("r")).select("r.*"), "training")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    terms_of = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    counted = stored(terms_of.where(F.col("n") >= MIN_DOCS), "terms")
+    own = (counted.withColumn("evidence", evidence(F.col("toxic"), F.col("n"), toxic, n)).where(F.col("evidence") >= MIN_EVIDENCE)
+           .orderBy(F.desc("evidence"), "bucket").limit(max_terms).select("bucket").toArrow()["bucket"].to_numpy())
+    common = np.sort(counted.orderBy(F.desc("n"), "bucket").limit(PAIR_TERMS).select("bucket").toArrow()["bucket"].to_numpy())
+    known = np.union1d(own, common[paired(*learnable(rows, common), len(common))]) if len(common) else own
+    docs_of, cols, truth = learnable(rows, known)
+    return fit_machine(docs_of, cols, truth, known)
 
 
 def _scored(docs: DataFrame, machine: Machine, columns: list[str], text_col: str, threshold: float) -> DataFrame:
