@@ -24,7 +24,7 @@ def test_stages(spark):
         if name == "minhash":
             assert {r["doc_id"] for r in after} == {c for i, (_, c) in brute.near(before, 80).items()}
         if name == "suffix_dedup":
-            left = {i: bytes(c for c, g in zip((t or "").encode(), f, strict=True) if not g).decode("utf-8", "ignore") for (i, t), f in zip(before, brute.removed_bytes(before), strict=True)}
+            left = {i: bytes(c for c, g in zip((t or "").encode(), f, strict=True) if not g).decode("utf-8", "ignore") for (i, t), f in zip(before, brute.removed_bytes(before, corpus_pipeline.PASSAGE_BYTES), strict=True)}
             assert {r["doc_id"]: r["text"] for r in after} == left and all(r["n_chars"] == len(r["text"]) for r in after)
         if name == "packing":
             assert {r["doc_id"] for r in after} == {i for i, _ in before}
