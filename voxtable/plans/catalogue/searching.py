@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
-from voxtable.operators import evaluation, expansion, tfidf
+from voxtable.operators import evaluation, expansion, postings, tfidf
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
 from voxtable.sources.scratch import materialize
@@ -24,8 +24,8 @@ def _(d):
 
 @query("a12_tfidf_index", f"WITH {INDEX} SELECT review_id, term, round(weight, 6) AS weight FROM postings")
 def _(d):
-    model, postings = index_of(d)
-    return postings.withColumn("weight", r6("weight"))
+    model, weights = index_of(d)
+    return weights.withColumn("weight", r6("weight"))
 
 
 @query("m01_tfidf_transform", f"""WITH {INDEX}, {QUERY_TERMS}, {score_ctes('asked')}
@@ -37,16 +37,38 @@ def _(d):
 
 @query("j09_postings_join", f"WITH {INDEX}, {QUERY_TERMS}, {score_ctes('asked')} SELECT query_id, review_id, round(score, 6) AS score FROM q_score")
 def _(d):
-    model, postings = index_of(d)
-    return tfidf.score(postings, tfidf.query_weights(d.query_terms, model)).withColumn("score", r6("score"))
+    model, weights = index_of(d)
+    return tfidf.score(weights, tfidf.query_weights(d.query_terms, model)).withColumn("score", r6("score"))
 
 
 RANKED = f"{INDEX}, {QUERY_TERMS}, {score_ctes('asked')}, {top_ctes('q_score', 500)}"
 
 
+_blocks: dict = {}
+
+
+def built_blocks(d: Tables):
+    model = tfidf.fit(d.reviews)
+    return model, postings.build(postings.vectors(d.reviews, model))
+
+
+def blocks_of(d: Tables):
+    """The block index, built and stored once per application and folder; ``a12_block_index`` builds it anew."""
+    key = (d.spark.sparkContext.applicationId, d.folder)
+    if key not in _blocks:
+        _blocks[key] = built_blocks(d)
+    return _blocks[key]
+
+
+@query("a12_block_index", f"""WITH {INDEX} SELECT term, count(*) AS n, round(max(weight), 6) AS top FROM postings GROUP BY term""")
+def _(d):
+    blocks = built_blocks(d)[1].blocks.select("term", "n", F.array_max(F.transform("entries", lambda e: e["weight"])).alias("top"))
+    return blocks.groupBy("term").agg(F.sum("n").alias("n"), r6(F.max("top")).alias("top"))
+
+
 def ranked_of(d: Tables, k: int = 500):
-    model, postings = index_of(d)
-    return tfidf.retrieve(postings, d.query_terms, model, k)
+    model, index = blocks_of(d)
+    return postings.retrieve(index, d.query_terms, model, k)
 
 
 @query("m02_retrieve", f"WITH {RANKED} SELECT query_id, review_id, rank, round(score, 6) AS score FROM ranked")
@@ -63,9 +85,8 @@ def _(d):
 @query("p12_positive_scores", f"""WITH {INDEX}, {QUERY_TERMS}, {score_ctes('asked')}
 SELECT query_id, count(*) AS n_positive FROM q_score WHERE score > 0 GROUP BY query_id""")
 def _(d):
-    model, postings = index_of(d)
-    scored = tfidf.score(postings, tfidf.query_weights(d.query_terms, model))
-    return scored.groupBy("query_id").agg(F.count("*").alias("n_positive"))
+    model, index = blocks_of(d)
+    return postings.match_counts(index, tfidf.query_weights(d.query_terms, model)).withColumnRenamed("n", "n_positive")
 
 
 @query("j12_judged_results", f"""WITH {RANKED} SELECT query_id, review_id, CAST(1 + doc_id % 5 AS INTEGER) >= 3 AS is_relevant
@@ -88,7 +109,8 @@ def _(d):
     return evaluation.relevant_term_share(terms.join(d.term_cache, "term")).withColumn("relevant_share", r6("relevant_share"))
 
 
-@query("a24_score_ordering", f"WITH {RANKED} SELECT 'score_ordering' AS name, query_id, true AS passed, count(*) AS n_scores FROM ranked GROUP BY query_id")
+@query("a24_score_ordering", f"""WITH {RANKED} SELECT 'score_ordering' AS name, query_id, NOT bool_or(rises) AS passed, count(*) AS n_scores FROM (
+  SELECT query_id, coalesce(round(score, 9) > lag(round(score, 9)) OVER (PARTITION BY query_id ORDER BY rank), false) AS rises FROM ranked) GROUP BY query_id""")
 def _(d):
     return evaluation.score_ordering(ranked_of(d).withColumn("score", F.round("score", 9)))
 
@@ -210,10 +232,9 @@ counts AS (
 
 
 def result_counts(d: Tables):
-    model, postings = index_of(d)
-    stored = materialize(postings, "postings")
+    model, index = blocks_of(d)
     expanded = expansion.expand(d.queries, d.synonyms).select("query_id", F.col("expanded_terms").alias("terms"))
-    count = lambda terms, name: tfidf.score(stored, tfidf.query_weights(terms, model)).groupBy("query_id").agg(F.count("*").alias(name))
+    count = lambda terms, name: postings.match_counts(index, tfidf.query_weights(terms, model)).withColumnRenamed("n", name)
     both = d.queries.select("query_id").join(count(d.query_terms, "base_count"), "query_id", "left").join(
         count(expanded, "expanded_count"), "query_id", "left")
     return both.fillna(0, ["base_count", "expanded_count"])
