@@ -256,3 +256,15 @@ def test_prepare_runs_each_stage_once(spark, folder):
     assert ids[0] == "R000000" and ids[-1] == "R000029"
     report = {r["name"]: r for r in prepare.validate(spark, f"{folder}/out", min_corpus=10).collect()}
     assert report["corpus_size"]["passed"] and not report["curated_size"]["passed"] and report["sample_balance"]["is_warning"]
+
+
+def test_folds_by_subtraction_equal_models_fitted_anew(spark):
+    r = random.Random(5)
+    rows = [(k, r.choice(["pricing", "support", "usability"]), r.choice(["positive", "negative", "neutral"]), r.randrange(1, 6), k % 4) for k in range(200)]
+    rows.append((200, "features", "positive", 5, 1))  # a topic that only fold 1 has
+    reviews = spark.createDataFrame(rows, "review_id int, topic string, sentiment string, rating int, k int")
+    found = {x["fold"]: x for x in probability.cross_validated(probability.fold_counts(reviews, F.col("k"))).collect()}
+    for fold in range(4):
+        anew = probability.log_likelihood(probability.fit(reviews.where(F.col("k") != fold)), reviews.where(F.col("k") == fold)).first()
+        assert found[fold]["log_likelihood"] == pytest.approx(anew["log_likelihood"]) and found[fold]["n_rows"] == anew["n_rows"]
+        assert found[fold]["n_impossible"] == anew["n_impossible"] == (fold == 1)

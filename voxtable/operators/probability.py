@@ -25,11 +25,11 @@ def inferred_sentiment(rating="rating", label: Column | None = None) -> Column:
     return by_rating if label is None else F.coalesce(label, by_rating)
 
 
-def as_evidence(reviews: DataFrame) -> DataFrame:
-    """topic, sentiment, rating_category of each review; a missing topic counts as other."""
+def as_evidence(reviews: DataFrame, *keys: str) -> DataFrame:
+    """The keys, topic, sentiment, rating_category of each review; a missing topic counts as other."""
     topic = coerce_topic("topic") if "topic" in reviews.columns else F.lit("other")
     label = F.col("sentiment") if "sentiment" in reviews.columns else None
-    return reviews.select(topic.alias("topic"), inferred_sentiment("rating", label).alias("sentiment"),
+    return reviews.select(*keys, topic.alias("topic"), inferred_sentiment("rating", label).alias("sentiment"),
                           rating_category().alias("rating_category"))
 
 
@@ -141,3 +141,39 @@ def log_likelihood(model: DataFrame, held_out: DataFrame) -> DataFrame:
     p = F.col("pt") * F.col("ps") * F.col("pr")
     return joined.agg(F.sum(F.col("m") * F.log(p)).alias("log_likelihood"), F.sum("m").alias("n_rows"),
                       F.sum(F.when(p.isNull(), F.col("m")).otherwise(0)).alias("n_impossible"))
+
+
+# ---- folds ---------------------------------------------------------------------------------
+
+def fold_counts(reviews: DataFrame, fold: Column) -> DataFrame:
+    """Joint counts of each fold, from one pass; ``fold`` is an expression over ``reviews``. Few rows, stored."""
+    own = as_evidence(reviews.withColumn("_fold", fold), "_fold").withColumnRenamed("_fold", "fold")
+    return materialize(own.groupBy("fold", "topic", "sentiment", "rating_category").agg(F.count("*").alias("n")), "fold-counts")
+
+
+def _without(counts: DataFrame, *keys: str) -> DataFrame:
+    """(fold, keys, n) counted over all other folds: the total less the fold's own. Combinations seen nowhere else are left out."""
+    own = counts.groupBy("fold", *keys).agg(F.sum("n").alias("own"))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    folds = counts.agg(F.collect_set("fold")).scalar()
+    every = total.withColumn("folds", folds).withColumn("fold", F.explode("folds")).join(own, ["fold", *keys], "left")
+    rest = every.select("fold", *keys, (F.col("total") - F.coalesce("own", F.lit(0))).alias("n"))
+    return rest.where(F.col("n") > 0)
+
+
+def cross_validated(counts: DataFrame) -> DataFrame:
+    """(fold, log_likelihood, n_rows, n_impossible): each fold's rows under the tables of all other folds.
+
+    Fitting is subtraction of counts, so five models cost one pass over the reviews. Rows whose combination the other folds never
+    saw are counted apart.
+    """
+    share = lambda *given: F.col("n") / F.sum("n").over(W.partitionBy("fold", *given))
+    t = _without(counts, "topic")
+    s, r = _without(counts, "topic", "sentiment"), _without(counts, "sentiment", "rating_category")
+    t, s, r = t.withColumn("pt", share()), s.withColumn("ps", share("topic")), r.withColumn("pr", share("sentiment"))
+    held = counts.withColumnRenamed("n", "m")
+    joined = (held.join(t.drop("n"), ["fold", "topic"], "left").join(s.drop("n"), ["fold", "topic", "sentiment"], "left")
+              .join(r.drop("n"), ["fold", "sentiment", "rating_category"], "left"))
+    p = F.col("pt") * F.col("ps") * F.col("pr")
+    return joined.groupBy("fold").agg(F.sum(F.col("m") * F.log(p)).alias("log_likelihood"), F.sum("m").alias("n_rows"),
+                                      F.sum(F.when(p.isNull(), F.col("m")).otherwise(0)).alias("n_impossible"))

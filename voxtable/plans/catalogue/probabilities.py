@@ -82,16 +82,36 @@ def _(d):
     return probability.topic_given_rating(probability.fit(evidence(d))).withColumn("p", r6("p"))
 
 
-@query("a32_log_likelihood", f"""WITH {EVIDENCE} SELECT round(sum(ln(p_t.p * p_s.p * p_r.p)), 4) AS log_likelihood, count(*) AS n_rows,
-  count(*) FILTER (WHERE p_s.p IS NULL OR p_r.p IS NULL) AS n_impossible
-FROM evidence e LEFT JOIN p_t ON p_t.topic = e.topic LEFT JOIN p_s ON p_s.topic = e.topic AND p_s.sentiment = e.sentiment
-LEFT JOIN p_r ON p_r.sentiment = e.sentiment AND p_r.rating_category = e.rating_category WHERE held""")
+# Each row is scored by tables that were fitted anew without its rows.
+HELD_SQL = """SELECT {group}round(sum(ln(t.p * s.p * r.p)), 4) AS log_likelihood, count(*) AS n_rows, count(*) FILTER (WHERE s.p IS NULL OR r.p IS NULL) AS n_impossible
+FROM {rows} e LEFT JOIN f_t t ON t.fold = e.fold AND t.topic = e.topic LEFT JOIN f_s s ON s.fold = e.fold AND s.topic = e.topic AND s.sentiment = e.sentiment
+LEFT JOIN f_r r ON r.fold = e.fold AND r.sentiment = e.sentiment AND r.rating_category = e.rating_category"""
+
+
+def fold_ctes(fold: str) -> str:
+    """Tables fitted for every fold on all rows outside it."""
+    return f"""{EVIDENCE}, folded AS (SELECT *, {fold} AS fold FROM evidence),
+other AS (SELECT f.fold, e.topic, e.sentiment, e.rating_category FROM (SELECT DISTINCT fold FROM folded) f JOIN folded e ON e.fold <> f.fold),
+f_t AS (SELECT fold, topic, count(*) / sum(count(*)) OVER (PARTITION BY fold) AS p FROM other GROUP BY fold, topic),
+f_s AS (SELECT fold, topic, sentiment, count(*) / sum(count(*)) OVER (PARTITION BY fold, topic) AS p FROM other GROUP BY fold, topic, sentiment),
+f_r AS (SELECT fold, sentiment, rating_category, count(*) / sum(count(*)) OVER (PARTITION BY fold, sentiment) AS p FROM other GROUP BY fold, sentiment, rating_category)"""
+
+
+@query("a32_log_likelihood", f"WITH {fold_ctes('held::INTEGER')} {HELD_SQL.format(group='', rows='(SELECT * FROM folded WHERE held)')}")
 def _(d):
+    """Reviews with a label of their own under the tables of all others."""
     rows = evidence(d)
-    ll = probability.log_likelihood(probability.fit(rows), rows.where("held"))
+    ll = probability.log_likelihood(probability.fit(rows.where(~F.col("held"))), rows.where("held"))
     return ll.withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
+@query("a32_cross_validation", f"WITH {fold_ctes('substr(review_id, 2)::BIGINT % 5')} {HELD_SQL.format(group='e.fold, ', rows='folded')} GROUP BY e.fold")
+def _(d):
+    """Five folds from one pass over the reviews."""
+    counts = probability.fold_counts(evidence(d), F.substring("review_id", 2, 20).cast("bigint") % 5)
+    return probability.cross_validated(counts).withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
 def metadata_of(d: Tables):
     """One training record per language and one earlier record each, with real sizes."""
     sizes = d.reviews.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("p"))

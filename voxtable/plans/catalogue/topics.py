@@ -8,6 +8,8 @@ from voxtable.functions import lexicons as lex, text as tx
 from voxtable.operators import classifier, evaluation, labeling
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
+from voxtable.plans.catalogue.sources import CURATED, curated_from
+from voxtable.sources import corpus
 from voxtable.sources.scratch import materialize
 
 
@@ -183,3 +185,16 @@ def _(d):
     tested = gold.where(~train)
     pairs = classifier.predict(tested, model).join(tested.select("review_id", "label"), "review_id")
     return rounded_report(pairs.select("label", F.col("predicted_topic").alias("predicted")))
+
+
+@query("m15_gold_set", f"""WITH {REVIEWS}, {LABELED}, {CURATED}, tested AS (SELECT review_id, text, verified_topic AS label FROM curated WHERE verified_topic IS NOT NULL),
+trained AS (SELECT review_id, text, topic_label AS label FROM labeled WHERE review_id NOT IN (SELECT review_id FROM tested)),
+{classifier_ctes('trained', 'tested', lex.TOPICS, 'label')},
+pairs AS (SELECT label, predicted_topic AS predicted FROM tested JOIN nb_predicted USING (review_id)),
+{report_sql('pairs')}""")
+def _(d):
+    """Fit on the whole training set without the verified reviews, report on these."""
+    gold = materialize(corpus.gold_set(curated_from(d.labeled)).select("review_id", "text", "label"), "gold")
+    training = corpus.training_set(d.labeled, "full").select("review_id", "text", "label").join(gold.select("review_id"), "review_id", "left_anti")
+    pairs = classifier.predict(gold, classifier.fit(training)).join(gold.select("review_id", "label"), "review_id")
+    return rounded_report(pairs.select("label", F.col("predicted_topic").alias("predicted")))
