@@ -28,7 +28,7 @@ from voxtable.llm.arrow import coded, slices, text_of, words_of
 CAPACITY = 4096
 END = 2
 #: Words whose ids a Python worker keeps; when full, only those of the batch at hand stay.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 #: Words that the tokenizer takes at once.
 GROUP = 20_000
 BATCH_BYTES = 8_000_000
