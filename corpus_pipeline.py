@@ -11,7 +11,6 @@ from voxtable.sources.scratch import materialize
 
 #: A repeat to be cut is a passage of 50 words: of four letters and a space on average, as common words are.
 PASSAGE_BYTES = 250
-PASSAGE_STEPS = (125, 25, 1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur more than once; n_chars follows."""
-    return suffix_dedup.clean(docs, length=PASSAGE_BYTES, steps=PASSAGE_STEPS).withColumn("n_chars", F.char_length("text").cast("long"))
+    return suffix_dedup.clean(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
