@@ -126,8 +126,8 @@ def reference_viterbi(symbols, m):
         score = step
     path = [score.index(max(score))]
     for row in reversed(back):
-        path.insert(0, row[path[0]])
-    return [lex.SENTIMENTS[i] for i in path]
+        path.append(row[path[-1]])
+    return [lex.SENTIMENTS[i] for i in reversed(path)]
 
 
 def test_viterbi_equals_plain_python(spark):
@@ -136,6 +136,16 @@ def test_viterbi_equals_plain_python(spark):
     assert all(got[i] == reference_viterbi(sym, hmm.START) for i, _, sym in rows)
 
 
+@pytest.mark.parametrize("steps", [hmm.POINTERS, hmm.POINTERS + 1, hmm.POINTERS + 2, 2 * hmm.POINTERS + 1, 100_000])
+def test_viterbi_of_long_sequences(spark, steps):
+    """Borders of the blocks, ties of the start model, and a review of 100 000 sentences."""
+    rng = random.Random(steps)
+    symbols = [rng.randint(0, 4) for _ in range(steps)]
+    df = spark.createDataFrame([(symbols,), ([],)], "symbols array<int>").repartition(1)
+    got = [r["s"] for r in df.select(hmm.viterbi("symbols", hmm.START).alias("s")).collect()]
+    assert sorted(got, key=len) == [[], reference_viterbi(symbols, hmm.START)]
+
+
 def test_short_sequences_use_polarity(spark):
     df = spark.createDataFrame([("1", [0.9], [4])], "review_id string, scores array<double>, symbols array<int>")
     assert hmm.analyze(df, hmm.START).first()["sentiment_states"] == ["positive"]

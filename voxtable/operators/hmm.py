@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtable.functions import lexicons as lex
+from voxtable.functions import lexicons as lex, text
 from voxtable.operators import sentiment as se
 from voxtable.sources.scratch import literal_table, materialize
 
@@ -165,39 +165,64 @@ def log(p: float) -> float:
     return math.log(p) if p > 0 else float("-inf")
 
 
+#: Sentences whose back pointers lie in one string; a sequence is a list of such strings.
+POINTERS = 512
+
+
 def viterbi(symbols, model: HmmModel) -> Column:
-    """Best state path of a symbol array as ARRAY<STRING>; ties go to the lower state.
+    """Best state path of a symbol array as ARRAY<STRING>; ties go to the lower state, an empty array has no states.
 
-    The fold carries, per state, the best log score and its path as a string of digits, so a
-    step appends one byte to three strings.
+    Forward, a step appends one character that packs the three back pointers; backward, a fold
+    over these characters follows them. Both folds run over blocks of ``POINTERS`` steps, so what
+    a step copies does not grow with the sequence.
     """
     obs = F.col(symbols) if isinstance(symbols, str) else symbols
-    b = [F.array(*[F.lit(log(model.emit[j][k])) for k in range(N_SYMBOLS)]) for j in range(3)]
-
-    def state(scores, paths) -> Column:
-        return F.struct(*[s.alias(f"d{j}") for j, s in enumerate(scores)], *[p.alias(f"p{j}") for j, p in enumerate(paths)])
+    emit = [F.array(*[F.lit(log(model.emit[j][k])) for k in range(N_SYMBOLS)]) for j in range(3)]
+    names = F.array(*[F.lit(s) for s in lex.SENTIMENTS])
 
-    first = F.get(obs, F.lit(0))
-    init = state([F.lit(log(model.start[j])) + F.get(b[j], first) for j in range(3)], [F.lit(str(j)) for j in range(3)])
+    def best_of(scores) -> Column:
+        best = F.greatest(*scores)
+        return F.when(scores[0] == best, 0).when(scores[1] == best, 1).otherwise(2)
 
     def step(acc: Column, o: Column) -> Column:
-        scores, paths = [], []
+        scores, packed = [], F.lit(64)
         for j in range(3):
             into = [acc[f"d{i}"] + F.lit(log(model.trans[i][j])) for i in range(3)]
-            best = F.greatest(*into)
-            scores.append(best + F.get(b[j], o))
-            path = F.when(into[0] == best, acc["p0"]).when(into[1] == best, acc["p1"]).otherwise(acc["p2"])
-            paths.append(F.concat(path, F.lit(str(j))))
-        return state(scores, paths)
-
-    def finish(acc: Column) -> Column:
-        best = F.greatest(acc["d0"], acc["d1"], acc["d2"])
-        return F.when(acc["d0"] == best, acc["p0"]).when(acc["d1"] == best, acc["p1"]).otherwise(acc["p2"])
-
-    rest = F.slice(obs, 2, F.greatest(F.size(obs) - 1, F.lit(0)))
-    path = F.aggregate(rest, init, step, finish)
-    names = F.array(*[F.lit(s) for s in lex.SENTIMENTS])
-    return F.transform(F.filter(F.split(path, ""), lambda d: d != ""), lambda d: F.get(names, d.cast("int")))
+            scores.append((F.greatest(*into) + F.get(emit[j], o)).alias(f"d{j}"))
+            packed = packed + best_of(into) * F.lit(4 ** j)
+        return F.struct(*scores, F.concat(acc["back"], F.char(packed)).alias("back"))
+
+    def path(os: Column) -> Column:
+        first = F.get(os, F.lit(0))
+        start = F.struct(*[(F.lit(log(model.start[j])) + F.get(emit[j], first)).alias(f"d{j}") for j in range(3)],
+                         F.array().cast("array<string>").alias("blocks"))
+
+        def forward(acc: Column, k: Column) -> Column:
+            scores = [acc[f"d{j}"].alias(f"d{j}") for j in range(3)]
+            block = F.aggregate(F.slice(os, k * POINTERS + 2, F.lit(POINTERS)), F.struct(*scores, F.lit("").alias("back")), step)
+            return text.let(block, lambda x: F.struct(*[x[f"d{j}"].alias(f"d{j}") for j in range(3)],
+                                                      F.array_append(acc["blocks"], x["back"]).alias("blocks")))
+
+        def follow(acc: Column, c: Column) -> Column:
+            state = (F.ascii(c) - 64).bitwiseAND(F.element_at(F.array(F.lit(3), F.lit(12), F.lit(48)), acc["state"] + 1))
+            state = F.floor(state / F.element_at(F.array(F.lit(1), F.lit(4), F.lit(16)), acc["state"] + 1)).cast("int")
+            return text.let(state, lambda to: F.struct(to.alias("state"), F.concat(acc["states"], to.cast("string")).alias("states")))
+
+        def backward(acc: Column, back: Column) -> Column:
+            block = F.aggregate(F.reverse(F.split(back, "")), F.struct(acc["state"].alias("state"), F.lit("").alias("states")), follow)
+            return text.let(block, lambda x: F.struct(x["state"].alias("state"), F.array_append(acc["blocks"], x["states"]).alias("blocks")))
+
+        def finish(end: Column) -> Column:
+            last = best_of([end["d0"], end["d1"], end["d2"]])
+            start = text.let(last, lambda s: F.struct(s.alias("state"), F.array(s.cast("string")).alias("blocks")))
+            return F.aggregate(F.reverse(F.filter(end["blocks"], lambda b: b != "")), start, backward,
+                               lambda acc: F.split(F.reverse(F.array_join(acc["blocks"], "")), ""))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(os) - 1) / POINTERS).cast("int"))
+        digits = text.let(F.aggregate(blocks, start, forward), finish)
+        return F.transform(digits, lambda d: F.get(names, d.cast("int")))
+
+    return text.let(obs, lambda os: F.when(F.size(os) > 0, path(os)).otherwise(F.array().cast("array<string>")))
 
 
 def analyze(observed: DataFrame, model: HmmModel | None, min_symbols: int = 2) -> DataFrame:
