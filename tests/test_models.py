@@ -179,6 +179,59 @@ def test_expected_counts_equal_plain_forward_backward(spark):
         assert abs(row["k27"] - ll) < 1e-6
 
 
+def plain_sums(sequences, m):
+    """The 29 sums by a scaled forward-backward pass, position by position."""
+    pi, a, b = (np.array(x) for x in m[:3])
+    out = np.zeros(29)
+    for sym in sequences:
+        alpha, scale = [], []
+        for t, o in enumerate(sym):
+            raw = (alpha[-1] @ a if t else pi) * b[:, o]
+            scale.append(raw.sum())
+            alpha.append(raw / raw.sum())
+        beta = np.ones(3)
+        for t in range(len(sym) - 1, -1, -1):
+            out[12 + sym[t]:27:5] += alpha[t] * beta
+            if t == 0:
+                out[0:3] += alpha[0] * beta
+            else:
+                nxt = beta * b[:, sym[t]] / scale[t]
+                out[3:12] += (alpha[t - 1][:, None] * a * nxt[None, :]).ravel()
+                beta = a @ nxt
+        out[27] += np.log(scale).sum()
+        out[28] += 1
+    return out
+
+
+def test_long_sequences_are_cut_into_segments(spark, monkeypatch):
+    """Segments give the sums of whole sequences, with equal and unequal last segments and weights."""
+    rng = random.Random(3)
+    n = hmm.SEGMENT
+    rows = [[rng.choice([0, 0, 1, 2, 3, 4, 4]) for _ in range(k)] for k in (2, n - 1, n, n + 1, 2 * n, 3 * n + 17, 5)]
+    df = spark.createDataFrame([(s, 2) for s in rows], "symbols array<int>, n long").repartition(2)
+    got = np.array(list(hmm.expected_counts(df, hmm.START).first()))
+    want = 2 * plain_sums(rows, hmm.START)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    monkeypatch.setattr(hmm, "POSITIONS", 3 * n)  # groups of few segments
+    small = sum(f.to_numpy()[0] for f in hmm._expected_counts(*hmm.START[:3])([df.toPandas()]))
+    assert np.allclose(small, want, rtol=1e-9, atol=1e-9)
+
+
+def test_a_million_symbols_in_bounded_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    symbols = np.random.default_rng(1).integers(0, 5, 1_000_000).astype(np.int32)
+    batch = pd.DataFrame({"symbols": [symbols], "n": [1]})
+    tracemalloc.start()
+    sums = next(hmm._expected_counts(*hmm.START[:3])([batch])).to_numpy()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    assert abs(sums[12:27].sum() - 1e6) < 1e-3 and abs(sums[3:12].sum() - (1e6 - 1)) < 1e-3 and abs(sums[:3].sum() - 1) < 1e-9
+
+
 def test_training_never_loses_likelihood(spark):
     _, df = observed(spark)
     model = hmm.fit(df, max_iter=8)

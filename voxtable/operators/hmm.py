@@ -39,47 +39,112 @@ def eligible(observed: DataFrame, symbols: str = "symbols") -> DataFrame:
     return observed.where(F.size(symbols) >= 2)
 
 
+#: Symbols of a segment, and positions that one group of segments holds at a time.
+SEGMENT, POSITIONS = 1024, 1 << 20
+
+
+def _borders(segments, pi, a, b):
+    """For the segments of one sequence: predicted states before each, backward vector at its last position, forward vector of the position before it.
+
+    The scaled product of a segment's step matrices stands for the whole segment. Products are
+    associative, so all segments advance together and one 3 x 3 matrix each is combined in order.
+    """
+    import numpy as np
+
+    product = np.repeat(np.eye(N_STATES)[None], len(segments), axis=0)
+    lengths = np.array([len(s) for s in segments])
+    for t in range(int(lengths.max())):
+        live = np.flatnonzero(lengths > t)
+        seen = np.array([segments[i][t] for i in live])
+        moved = (product[live] @ a if t else product[live]) * b[:, seen].T[:, None, :]
+        product[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    before, forward, after = (np.ones((len(segments), N_STATES)) for _ in range(3))
+    before[0] = pi
+    for i in range(1, len(segments)):
+        v = before[i - 1] @ product[i - 1]
+        forward[i] = v / v.sum()
+        before[i] = forward[i] @ a
+    for i in range(len(segments) - 1, 0, -1):
+        u = a @ product[i] @ after[i]
+        after[i - 1] = u / u.sum()
+    return before, after, forward
+
+
+def _segment_sums(total, segments, weight, first, before, after, pi, a, b):
+    """Adds the sums of some segments: scaled forward-backward between the vectors at their borders."""
+    import numpy as np
+
+    lengths = np.array([len(s) for s in segments])
+    steps = int(lengths.max())
+    padded = np.zeros((len(segments), steps), np.int64)
+    padded[np.arange(steps) < lengths[:, None]] = np.concatenate(segments)
+    active = [int((lengths > t).sum()) for t in range(steps)]  # segments still running at t; they come longest first
+    obs = [padded[:active[t], t] for t in range(steps)]
+    alpha, scale = [], []
+    for t in range(steps):
+        raw = (before if t == 0 else alpha[-1][:active[t]] @ a) * b[:, obs[t]].T
+        c = raw.sum(axis=1, keepdims=True)
+        alpha.append(raw / c)
+        scale.append(c)
+        total[27] += (weight[:active[t]] * np.log(c)).sum()
+    beta = np.empty((0, N_STATES))
+    for t in range(steps - 1, -1, -1):
+        m = len(beta)
+        if m:
+            nxt = beta * b[:, obs[t + 1]].T / scale[t + 1]
+            total[3:12] += (a * ((weight[:m] * alpha[t][:m]).T @ nxt)).ravel()
+        ends = after[m:active[t]] / (alpha[t][m:] * after[m:active[t]]).sum(axis=1, keepdims=True)
+        beta = np.vstack([nxt @ a.T, ends]) if m else ends
+        gamma = weight[:active[t]] * alpha[t] * beta
+        for k in range(N_SYMBOLS):
+            total[12 + k:27:N_SYMBOLS] += gamma[obs[t] == k].sum(axis=0)
+    total[0:3] += gamma[first].sum(axis=0)
+    total[28] += weight[first].sum()
+    return beta, scale[0], obs[0]
+
+
 def _expected_counts(start, trans, emit):
-    """Task function: scaled forward-backward over batches of symbol arrays, each standing for n sequences."""
+    """Task function: scaled forward-backward over batches of symbol arrays, each standing for n sequences.
+
+    Sequences are cut into segments, and groups of segments are handled together, so the memory
+    for a long sequence is that of its symbols and of one group.
+    """
     def run(batches):
         import numpy as np
         import pandas as pd
 
         pi, a, b = np.array(start), np.array(trans), np.array(emit)
         total = np.zeros(29)
+
+        def add(segments, weight, first, before, after):
+            order = np.argsort([-len(s) for s in segments], kind="stable")
+            at = 0
+            while at < len(order):
+                group = order[at:at + max(1, POSITIONS // len(segments[order[at]]))]
+                at += len(group)
+                chosen = [segments[i] for i in group]
+                beta, c, o = _segment_sums(total, chosen, weight[group], first[group], before[group], after[group], pi, a, b)
+                inner = ~first[group]
+                if inner.any():  # the step into a segment, from the last state of the one before
+                    nxt = (beta * b[:, o].T / c)[inner]
+                    total[3:12] += (a * ((weight[group] * forward[group])[inner].T @ nxt)).ravel()
+
         for batch in batches:
             if not len(batch):
                 continue
-            seqs, weight = batch["symbols"].tolist(), batch["n"].to_numpy(float)[:, None]
-            lengths = np.array([len(s) for s in seqs])
-            order = np.argsort(-lengths, kind="stable")
-            lengths, weight = lengths[order], weight[order]
-            steps = int(lengths[0])
-            padded = np.zeros((len(seqs), steps), np.int64)
-            padded[np.arange(steps) < lengths[:, None]] = np.concatenate([seqs[i] for i in order])
-            active = [int((lengths > t).sum()) for t in range(steps)]  # sequences still running at t
-            obs = [padded[:active[t], t] for t in range(steps)]
-            alpha, scale = [], []
-            for t in range(steps):
-                step = pi[None, :] if t == 0 else alpha[-1][:active[t]] @ a
-                raw = step * b[:, obs[t]].T
-                c = raw.sum(axis=1, keepdims=True)
-                alpha.append(raw / c)
-                scale.append(c)
-                total[27] += (weight[:active[t]] * np.log(c)).sum()
-            beta = np.ones((active[-1], N_STATES))
-            for t in range(steps - 1, -1, -1):
-                if t < steps - 1:
-                    nxt = beta * b[:, obs[t + 1]].T / scale[t + 1]
-                    m = active[t + 1]
-                    total[3:12] += (a * ((weight[:m] * alpha[t][:m]).T @ nxt)).ravel()
-                    beta = np.vstack([nxt @ a.T, np.ones((active[t] - m, N_STATES))])
-                gamma = weight[:active[t]] * alpha[t] * beta
-                for k in range(N_SYMBOLS):
-                    total[12 + k:27:N_SYMBOLS] += gamma[obs[t] == k].sum(axis=0)
-                if t == 0:
-                    total[0:3] += gamma.sum(axis=0)
-            total[28] += weight.sum()
+            whole = [(s, n) for s, n in zip(batch["symbols"], batch["n"]) if len(s) <= SEGMENT]
+            if whole:
+                n = len(whole)
+                forward = np.zeros((n, N_STATES))
+                add([s for s, _ in whole], np.array([w for _, w in whole], float)[:, None], np.ones(n, bool),
+                    np.repeat(pi[None], n, axis=0), np.ones((n, N_STATES)))
+            for symbols, n in zip(batch["symbols"], batch["n"]):
+                if len(symbols) > SEGMENT:
+                    symbols = np.asarray(symbols)
+                    segments = [symbols[i:i + SEGMENT] for i in range(0, len(symbols), SEGMENT)]
+                    first = np.arange(len(segments)) == 0
+                    before, after, forward = _borders(segments, pi, a, b)
+                    add(segments, np.full((len(segments), 1), float(n)), first, before, after)
         yield pd.DataFrame([total], columns=[f"k{i}" for i in range(29)])
 
     return run
