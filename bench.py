@@ -18,7 +18,7 @@ HEADLINE = [
     "p06_clean", "h04_sentences", "a06_vocabulary", "a07_phrases", "a09_term_frequencies", "a11_cooccurrence",
     "m06_auto_label_corpus_words", "w01_rating_sample", "a12_tfidf_fit", "a12_block_index", "m02_retrieve", "t01_top_k_single",
     "m11_beam_expansion", "j07_term_filter", "a13_fit_summary", "m03_classify", "a14_probability_tables",
-    "m07_insights", "j11_sentence_polarity", "m09_viterbi", "a15_hmm_fit", "a17_mean_transitions",
+    "m07_insights", "j11_sentence_polarity", "m09_viterbi", "a15_hmm_converged", "a17_mean_transitions",
     "m13_analyze_summary",
 ]
 

@@ -25,6 +25,7 @@ class HmmModel(NamedTuple):
     converged: bool = False
     iterations: int = 0
     history: tuple = ()
+    stopped_by: str = ""  # "tolerance" or "passes"
 
 
 # Start of the training: the states already lean the way they are named.
@@ -200,8 +201,9 @@ def fit(observed: DataFrame, max_iter: int = 100, tolerance: float = 0.01, init:
         model = HmmModel(start, trans, emit)
         if len(history) > 1 and history[-1] - history[-2] < tolerance:
             break
-    done = len(history) == max_iter or (len(history) > 1 and history[-1] - history[-2] < tolerance)
-    model = model._replace(converged=done, iterations=len(history), history=tuple(history))
+    settled = len(history) > 1 and history[-1] - history[-2] < tolerance
+    model = model._replace(converged=settled or len(history) == max_iter, iterations=len(history), history=tuple(history),
+                           stopped_by="tolerance" if settled else "passes")
     return relabeled(model) if relabel else model
 
 
@@ -302,8 +304,8 @@ def analyze(observed: DataFrame, model: HmmModel | None, min_symbols: int = 2) -
 
 
 def score(observed: DataFrame, model: HmmModel) -> DataFrame:
-    """Held-out log-likelihood and perplexity exp(-LL / symbols)."""
-    usable = eligible(observed)
+    """Log-likelihood and perplexity exp(-LL / symbols); held out when ``observed`` took no part in the training. Equal sequences are scored once."""
+    usable = eligible(observed).groupBy("symbols").agg(F.count("*").alias("n"))
     ll = expected_counts(usable, model).select(F.col("k27").alias("log_likelihood"), F.col("k28").cast("bigint").alias("n_sequences"))
-    n = usable.agg(F.sum(F.size("symbols"))).scalar()
+    n = usable.agg(F.sum(F.size("symbols") * F.col("n"))).scalar()
     return ll.withColumn("n_symbols", n).withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.col("n_symbols")))

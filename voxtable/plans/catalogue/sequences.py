@@ -10,7 +10,7 @@ from voxtable.plans import analyze
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
 from voxtable.sources import models
-from voxtable.sources.scratch import scratch_path
+from voxtable.sources.scratch import materialize, scratch_path
 
 SYMBOLS = f"{REVIEWS}, {POLARITY}"
 
@@ -122,6 +122,11 @@ def _(d):
 OBS = """seqs AS (SELECT review_id, count(*) AS len FROM symbols GROUP BY review_id),
 obs AS MATERIALIZED (SELECT review_id, sentence_no AS t, sym + 1 AS o, len FROM symbols JOIN seqs USING (review_id))"""
 
+# One document in five is held out; the model is trained on the others only.
+HELD = "substr(review_id, 2)::BIGINT % 5 = 0"
+SPLIT_OBS = (OBS.replace("obs AS", "every_obs AS") + f""",
+obs AS MATERIALIZED (SELECT * FROM every_obs WHERE NOT {HELD}), held_obs AS MATERIALIZED (SELECT * FROM every_obs WHERE {HELD})""")
+
 
 def _lit(p: float) -> str:
     return f"({p!r})::DOUBLE" if p > float("-inf") else "'-inf'::DOUBLE"
@@ -150,15 +155,15 @@ decoded AS (
   FROM states s JOIN best_path b USING (review_id))"""
 
 
-def forward_ctes(k: int) -> str:
-    """f{k}: scaled forward pass with the one-row parameters par{k}."""
+def forward_ctes(k: int, obs: str = "obs") -> str:
+    """f{k}: scaled forward pass over ``obs`` with the one-row parameters par{k}."""
     raw = ", ".join("(" + " + ".join(f"f.x{i} * p.a{i}{j}" for i in range(3)) + f") * p.b{j}[q.o] AS r{j}" for j in range(3))
     first = ", ".join(f"p.s{j} * p.b{j}[q.o] AS r{j}" for j in range(3))
     scaled = "review_id, t, len, o, r0 + r1 + r2 AS c, " + ", ".join(f"r{j} / (r0 + r1 + r2) AS x{j}" for j in range(3))
     return f"""f{k} AS (
-  SELECT {scaled} FROM (SELECT q.review_id, q.t, q.len, q.o, {first} FROM obs q, par{k} p WHERE q.t = 0 AND q.len > 1)
+  SELECT {scaled} FROM (SELECT q.review_id, q.t, q.len, q.o, {first} FROM {obs} q, par{k} p WHERE q.t = 0 AND q.len > 1)
   UNION ALL
-  SELECT {scaled} FROM (SELECT q.review_id, q.t, q.len, q.o, {raw} FROM f{k} f JOIN obs q ON q.review_id = f.review_id AND q.t = f.t + 1, par{k} p))"""
+  SELECT {scaled} FROM (SELECT q.review_id, q.t, q.len, q.o, {raw} FROM f{k} f JOIN {obs} q ON q.review_id = f.review_id AND q.t = f.t + 1, par{k} p))"""
 
 
 def em_ctes(k: int) -> str:
@@ -218,16 +223,20 @@ def named_ctes() -> str:
     new += [f"{trans}[q[{i + 1}] + 1][q[{j + 1}] + 1] AS a{i}{j}" for i in range(3) for j in range(3)]
     new += [f"{pick('b')}[q[{i + 1}] + 1] AS b{i}" for i in range(3)]
     return f"""ordered AS (SELECT *, [o[3], o[1], o[2]] AS q FROM (SELECT *, {order} AS o FROM final_par)),
-trained AS MATERIALIZED (SELECT converged, {', '.join(new)} FROM ordered)"""
+trained AS MATERIALIZED (SELECT converged, stopped_by, passes, {', '.join(new)} FROM ordered)"""
 
 
 #: Full training: every pass unrolled, the first gain under the tolerance (0.01) or the last pass ends it.
-TRAINED = f"""{SYMBOLS}, {OBS}, {PAR0}, {', '.join(em_ctes(k) for k in range(PASSES))},
+def trained_ctes(obs: str = OBS) -> str:
+    return f"""{SYMBOLS}, {obs}, {PAR0}, {', '.join(em_ctes(k) for k in range(PASSES))},
 gains AS (SELECT k, ll - lag(ll) OVER (ORDER BY k) AS gain FROM ({' UNION ALL '.join(f'SELECT {k} AS k, sum(ln(c)) AS ll FROM ff{k}' for k in range(PASSES))})),
-ended AS (SELECT coalesce(min(k) FILTER (gain < 0.01), {PASSES - 1}) + 1 AS n, true AS converged FROM gains),
-final_par AS (SELECT converged, {VALUES} FROM ended JOIN ({' UNION ALL '.join(f'SELECT {k} AS n, {VALUES} FROM par{k}' for k in range(1, PASSES + 1))}) USING (n)),
+ended AS (SELECT coalesce(min(k) FILTER (gain < 0.01), {PASSES - 1}) + 1 AS n, true AS converged,
+  CASE WHEN count(*) FILTER (gain < 0.01) > 0 THEN 'tolerance' ELSE 'passes' END AS stopped_by FROM gains),
+final_par AS (SELECT converged, stopped_by, n AS passes, {VALUES} FROM ended JOIN ({' UNION ALL '.join(f'SELECT {k} AS n, {VALUES} FROM par{k}' for k in range(1, PASSES + 1))}) USING (n)),
 {named_ctes()}"""
 
+
+TRAINED = trained_ctes()
 VITERBI = f"{STATES}, {viterbi_ctes()}"
 _hmm_paths: dict = {}
 
@@ -248,11 +257,12 @@ def _(d):
     return sequences_of(d, trained_hmm(d)).select("review_id", joined("sentiment_states").alias("states"))
 
 
-@query("a15_hmm_converged", f"WITH RECURSIVE {TRAINED} SELECT kind, from_state, to_state, p, converged FROM trained, LATERAL (" + PARAMETERS.replace(" FROM par2", "") + ")")
+@query("a15_hmm_converged", f"WITH RECURSIVE {TRAINED} SELECT kind, from_state, to_state, p, converged, stopped_by, passes FROM trained, LATERAL (" + PARAMETERS.replace(" FROM par2", "") + ")")
 def _(d):
-    """Training until the gain is under the tolerance or PASSES passes are done."""
+    """Training until the gain is under the tolerance or PASSES passes are done; ``stopped_by`` says which of the two it was."""
     model = hmm.fit(observed_of(d))
-    return hmm.parameter_table(d.spark, model).select("kind", "from_state", "to_state", r6("p").alias("p"), F.lit(model.converged).alias("converged"))
+    return hmm.parameter_table(d.spark, model).select("kind", "from_state", "to_state", r6("p").alias("p"), F.lit(model.converged).alias("converged"),
+                                                      F.lit(model.stopped_by).alias("stopped_by"), F.lit(model.iterations).alias("passes"))
 
 
 @query("a31_transition_matrix", f"WITH RECURSIVE {TRAINED} " + "\nUNION ALL ".join(
@@ -262,8 +272,11 @@ def _(d):
     return hmm.transition_matrix(d.spark, trained_hmm(d)).withColumn("p", r6("p"))
 
 
-@query("a33_sequence_score", f"""WITH RECURSIVE {TRAINED}, par{PASSES + 1} AS (SELECT * FROM trained), {forward_ctes(PASSES + 1)}
+@query("a33_sequence_score", f"""WITH RECURSIVE {trained_ctes(SPLIT_OBS)}, par{PASSES + 1} AS (SELECT * FROM trained), {forward_ctes(PASSES + 1, 'held_obs')}
 SELECT round(sum(ln(c)), 3) AS log_likelihood, count(*) FILTER (WHERE t = 0) AS n_sequences, count(*) AS n_symbols,
   round(exp(-sum(ln(c)) / count(*)), 6) AS perplexity FROM f{PASSES + 1}""")
 def _(d):
-    return hmm.score(observed_of(d), trained_hmm(d)).withColumns({"log_likelihood": F.round("log_likelihood", 3), "perplexity": r6("perplexity")})
+    """One document in five is scored by the model of the other four."""
+    observed = materialize(observed_of(d).withColumn("held", F.substring("review_id", 2, 20).cast("bigint") % 5 == 0), "observed")
+    model = hmm.fit(observed.where(~F.col("held")))
+    return hmm.score(observed.where("held"), model).withColumns({"log_likelihood": F.round("log_likelihood", 3), "perplexity": r6("perplexity")})
