@@ -11,6 +11,7 @@ from voxtable.operators import classifier, cleaning, expansion, labeling, sampli
 from voxtable.plans import prepare as preparing, train
 from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
+from voxtable.plans.catalogue.sequences import VITERBI, trained_ctes, trained_hmm
 from voxtable.sources import corpus, models, schemas, sinks
 from voxtable.sources.scratch import materialize, scratch_path
 from voxtable.sources.stage import run_stage
@@ -250,20 +251,35 @@ def _(d):
     return overview.select("model", "corpus_size", "parameters")
 
 
-@query("x01_arriving_reviews", f"""WITH {REVIEWS}, {LABELED},
-arrived AS (SELECT doc_id, review_id, {NORMAL} AS text, rating FROM reviews
-  WHERE {NORMAL} <> '' AND length({NORMAL}) BETWEEN 10 AND 5000 AND rating BETWEEN 1 AND 5),
+# Documents arrive in four deliveries with made-up times: (time, numbers of doc_id % 4). Lateness is an hour.
+# The second repeats a part of the first in time; the third is new, but for texts known from the first, and its time lets the
+# digests of the first go; the fourth repeats both, so only texts of the third are known.
+DELIVERIES = [("10:00", (0, 1, 2)), ("10:30", (0,)), ("13:00", (3,)), ("13:30", (1, 3))]
+
+
+@query("x01_arriving_reviews", f"""WITH RECURSIVE {trained_ctes()}, {VITERBI}, {LABELED},
+first_kept AS (SELECT DISTINCT text FROM reviews WHERE doc_id % 4 <> 3),
+third_kept AS (SELECT text FROM reviews WHERE doc_id % 4 = 3 EXCEPT SELECT text FROM first_kept),
+fourth_kept AS (SELECT text FROM reviews WHERE doc_id % 4 IN (1, 3) EXCEPT SELECT text FROM third_kept),
+kept_rows AS (SELECT '10:00' AS arrived_at, text FROM first_kept UNION ALL SELECT '13:00', text FROM third_kept UNION ALL SELECT '13:30', text FROM fourth_kept),
+arrived AS (SELECT min(doc_id) AS doc_id, min(review_id) AS review_id, text AS raw, {NORMAL} AS text FROM reviews GROUP BY reviews.text
+  HAVING {NORMAL} <> '' AND length({NORMAL}) BETWEEN 10 AND 5000),
 {label_ctes(CORPUS_LEXICON, 'arrived', 'fresh')},
 {classifier_ctes('labeled', 'arrived', lex.TOPICS)}
-SELECT f.review_id, f.topic_label, f.confidence_score, n.predicted_topic, round(n.confidence, 6) AS confidence
-FROM fresh f JOIN nb_predicted n USING (review_id)""")
+SELECT k.arrived_at, sha256(f.text) AS digest, f.topic_label, f.confidence_score, n.predicted_topic, round(n.confidence, 6) AS confidence,
+  coalesce(array_to_string(d.states, '|'), '') AS states
+FROM kept_rows k JOIN fresh f ON f.raw = k.text JOIN nb_predicted n USING (review_id) LEFT JOIN decoded d USING (review_id)""")
 def _(d):
-    """A stream over the documents: clean, label, classify, then read the stored batches."""
-    nb = classifier.fit(d.labeled, label="topic_label")
-    schema = d.table("documents").schema
-    stream = corpus.with_columns_from_documents(
-        d.spark.readStream.schema(schema).parquet(f"{d.folder}/documents*.parquet"))
-    out, checkpoint = scratch_path(d.spark, "scored"), scratch_path(d.spark, "stream-checkpoint")
-    scoring.write_scored(scoring.labeled_stream(stream, CORPUS_LEXICON), nb, out, checkpoint).awaitTermination()
-    return d.spark.read.parquet(out).select("review_id", "topic_label", big("confidence_score").alias("confidence_score"),
-                                            "predicted_topic", r6("confidence").alias("confidence"))
+    """A stream over four deliveries, started anew for each: clean, drop late copies, label, classify, decode; then read the stored batches."""
+    nb, model = classifier.fit(d.labeled, label="topic_label"), trained_hmm(d)
+    inbox, out, checkpoint = (scratch_path(d.spark, name) for name in ("inbox", "scored", "stream-checkpoint"))
+    documents = corpus.with_columns_from_documents(d.table("documents"))
+    for hour, numbers in DELIVERIES:
+        arriving = documents.where(F.pmod("doc_id", F.lit(4)).isin(*numbers)).withColumn("ts", F.lit(f"2024-01-01 {hour}:00").cast("timestamp"))
+        arriving.write.mode("append").parquet(inbox)
+        stream = scoring.arriving_reviews(d.spark, inbox, arriving.schema)
+        scoring.write_scored(scoring.labeled_stream(stream, CORPUS_LEXICON, "ts"), nb, out, checkpoint, model, d.polarity).awaitTermination()
+    return d.spark.read.parquet(out).select(
+        F.date_format("ts", "HH:mm").alias("arrived_at"), F.sha2("text", 256).alias("digest"), "topic_label",
+        big("confidence_score").alias("confidence_score"), "predicted_topic", r6("confidence").alias("confidence"),
+        F.coalesce(F.array_join("sentiment_states", "|"), F.lit("")).alias("states"))
