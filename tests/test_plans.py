@@ -3,6 +3,7 @@
 import pytest
 
 from voxtable.operators import classifier, cleaning, labeling, sampling, tfidf
+from voxtable.plans.catalogue import QUERIES
 from voxtable.plans.catalogue.base import CORPUS_LEXICON, Tables
 
 SF = "/root/testdata/sf0.001"
@@ -32,11 +33,18 @@ def nb(tables):
 
 
 def test_language_filter_and_columns_reach_the_scan(spark, tables):
-    from voxtable.sources.corpus import with_columns_from_documents
-
-    text = plan(cleaning.prefilter(with_columns_from_documents(tables.table("documents")), lang="en").select("review_id"))
-    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text
+    text = plan(QUERIES["p15_language"](spark, SF))
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text and "Exchange" not in text
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in text
+    text = plan(QUERIES["p14_prefilter"](spark, SF))
+    assert "EqualTo(lang,en)" in text.split("PushedFilters")[1].split("]")[0]
+    assert text.index("REPARTITION_BY_NUM") < text.index("EqualTo(lang,en)")  # rows are filtered before they are spread
+
+
+def test_a_page_sorts_its_own_rows_alone(spark):
+    text = plan(QUERIES["w08_page"](spark, SF))
+    assert "Filter (" in text
+    assert "rangepartitioning" not in text
 
 
 def test_labelling_needs_no_shuffle(tables):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions import lexicons as lex, text as tx
+from voxtable.operators import positions
 
 
 def label_struct(text, lexicon: dict) -> Column:
@@ -116,3 +117,8 @@ def page(table: DataFrame, start: int, size: int = 10, index: str = "row_index")
     """Rows [start, start + size) with a 500-character preview."""
     rows = table.where((F.col(index) >= start) & (F.col(index) < start + size))
     return rows.withColumn("preview", tx.cut("text", 500))
+
+
+def page_by_id(table: DataFrame, start: int, size: int = 10, key: str = "review_id") -> DataFrame:
+    """The page of a table without row numbers, in id order: the keys are counted, the page's rows are read."""
+    return positions.page(table, start, size, key).withColumn("preview", tx.cut("text", 500))

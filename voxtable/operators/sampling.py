@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxtable.functions import lexicons as lex, text as tx
-from voxtable.operators.cleaning import dense_index
+from voxtable.functions import lexicons as lex
+from voxtable.operators import positions
 
 
 def seeded_order(seed: int = 42, key: str = "review_id") -> list[Column]:
@@ -49,12 +49,9 @@ def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
 def prefix(df: DataFrame, n: int, key: str = "review_id") -> DataFrame:
     """First n rows by a unique key, for an n too large to gather.
 
-    Only the keys are sorted; the key at place n then filters the table where it lies.
+    The key at place n, found by counting keys, filters the table where it lies.
     """
-    edge = dense_index(df.select(key), *tx.id_order(key)).where(F.col("row_index") == n - 1).select(key).first()
-    if edge is None:
-        return df
-    return df.where((F.length(key) < len(edge[0])) | ((F.length(key) == len(edge[0])) & (F.col(key) <= edge[0])))
+    return positions.first(df, n, key)
 
 
 def verification_sample(df: DataFrame, n: int = 100, order=None) -> DataFrame:

@@ -10,7 +10,7 @@ from voxtable.plans.catalogue.base import *  # noqa: F403
 from voxtable.plans.catalogue.base import query
 from voxtable.plans.catalogue.sources import BATCHES, CURATED, curated_from, write_batches
 from voxtable.sources import corpus, sinks
-from voxtable.sources.scratch import literal_table
+from voxtable.sources.scratch import literal_table, spread
 
 COLS = ["review_id", "text", "rating", "title", "product_id"]
 
@@ -81,13 +81,14 @@ def _(d):
 @query("p14_prefilter", f"""WITH {REVIEWS}, {LABELED} SELECT review_id FROM labeled
 WHERE topic_label = 'performance' AND rating >= 4 AND lang = 'en'""")
 def _(d):
-    rows = d.labeled.withColumn("topic", F.col("topic_label")).withColumn("sentiment", probability.inferred_sentiment())
-    return cleaning.prefilter(rows, "performance", "high", "positive", "en").select("review_id")
+    unmoved = corpus.with_columns_from_documents(d.table("documents")).withColumn("sentiment", probability.inferred_sentiment())
+    rows = spread(cleaning.prefilter(unmoved, None, "high", "positive", "en"), "review_id")
+    return cleaning.prefilter(labeling.auto_label(rows, CORPUS_LEXICON).withColumn("topic", F.col("topic_label")), "performance").select("review_id")
 
 
 @query("p15_language", "SELECT printf('R%06d', doc_id) AS review_id FROM documents WHERE lang = 'en'")
 def _(d):
-    return cleaning.prefilter(d.reviews, lang="en").select("review_id")
+    return cleaning.prefilter(corpus.with_columns_from_documents(d.table("documents")), lang="en").select("review_id")
 
 
 @query("p16_rating_category", f"""WITH {REVIEWS}
@@ -184,8 +185,8 @@ def _(d):
 SELECT row_index, review_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview
 FROM n WHERE row_index BETWEEN 30 AND 39""")
 def _(d):
-    numbered = cleaning.dense_index(d.reviews.select("review_id", "text"), *tx.id_order())
-    return labeling.page(numbered, 30, 10).select("row_index", "review_id", "preview")
+    unmoved = corpus.with_columns_from_documents(d.table("documents"))
+    return labeling.page_by_id(unmoved, 30, 10).select("row_index", "review_id", "preview")
 
 
 def excerpt_sql(n: int, tags: bool) -> str:
@@ -269,7 +270,7 @@ INDEXED = f"""indexed AS (SELECT *, row_number() OVER (ORDER BY review_id) - 1 A
 last AS (SELECT row_index, arg_max(verified_topic, file) AS v FROM verdicts GROUP BY row_index)
 SELECT row_index, review_id, coalesce(v, verified_topic) AS verified_topic FROM indexed FULL JOIN last USING (row_index)""")
 def _(d):
-    table = cleaning.dense_index(curated_from(d.labeled), *tx.id_order())
+    table = cleaning.dense_index(curated_from(d.labeled).select("review_id", "verified_topic"), *tx.id_order())
     verdicts = corpus.read_verdict_batches(d.spark, write_batches(d))
     return labeling.apply_verdicts(table, verdicts, strict=False).select("row_index", "review_id", "verified_topic")
 
@@ -285,7 +286,7 @@ def _(d):
 SELECT row_index, review_id, CASE WHEN l.quality = 1 THEN 'pricing' WHEN l.quality = 0 THEN 'support' ELSE verified_topic END AS verified_topic
 FROM indexed i LEFT JOIN labels l ON l.doc_id = i.row_index""")
 def _(d):
-    table = cleaning.dense_index(curated_from(d.labeled), *tx.id_order())
+    table = cleaning.dense_index(curated_from(d.labeled).select("review_id", "verified_topic"), *tx.id_order())
     updates = d.table("labels").select(F.col("doc_id").alias("row_index"), F.when(F.col("quality") == 1, "pricing").otherwise("support")
                                        .alias("verified_topic"), F.lit("").alias("file"), F.lit(0).alias("position"))
     return labeling.apply_verdicts(table, updates).select("row_index", "review_id", "verified_topic")

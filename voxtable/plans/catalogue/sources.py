@@ -212,6 +212,20 @@ def _(d):
   count(DISTINCT source) AS n_results, 1 AS newest FROM documents WHERE lang = 'en'
 UNION ALL SELECT 'report_20240101_030405', 'de', count(*), count(DISTINCT source), 2 FROM documents WHERE lang = 'de'""")
 def _(d):
+    listed = sinks.list_reports(sinks.load_reports(d.spark, saved_reports(d)))
+    rank = F.row_number().over(W.orderBy(F.desc("report_ts")))
+    return listed.select("report_name", "dataset", "review_count", "n_results", rank.alias("newest"))
+
+
+@query("s17_one_report", """SELECT 'de' AS dataset, (SELECT count(*) FROM documents WHERE lang = 'de') AS review_count, source AS query,
+  avg(1 + doc_id % 5) >= 1 AS passed, round(avg(1 + doc_id % 5), 6) AS mean FROM documents WHERE lang = 'de' GROUP BY source""")
+def _(d):
+    one = sinks.load_report(sinks.load_reports(d.spark, saved_reports(d)), datetime(2024, 1, 1, 3, 4, 5))
+    return one.select("dataset", "review_count", "query", "passed", r6(F.element_at("details", "mean").cast("double")).alias("mean"))
+
+
+def saved_reports(d: Tables) -> str:
+    """Two reports, one a language, in one folder."""
     path = scratch_path(d.spark, "reports")
     for lang, day in (("de", 1), ("en", 2)):
         part = d.reviews.where(F.col("lang") == lang)
@@ -222,9 +236,7 @@ def _(d):
             F.lit(None).cast("string").alias("item"), (F.col("mean") >= 1).alias("passed"), F.lit(None).cast("string").alias("reasoning"),
             F.create_map(F.lit("mean"), F.col("mean").cast("string")).alias("details"))
         sinks.save_report(rows, path)
-    listed = sinks.list_reports(sinks.load_reports(d.spark, path))
-    rank = F.row_number().over(W.orderBy(F.desc("report_ts")))
-    return listed.select("report_name", "dataset", "review_count", "n_results", rank.alias("newest"))
+    return path
 
 
 @query("s18_model_artifacts", f"""WITH {REVIEWS}, {tf_ctes('reviews', 'review_id', 'd')}, {vocab_ctes('d', 10000, 'reviews')}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import StructType
 
 from voxtable.functions import text as tx
+from voxtable.operators import positions
 from voxtable.operators.labeling import known_topic
 from voxtable.operators.sampling import prefix
 from voxtable.sources import schemas
@@ -81,7 +82,7 @@ def load_reviews(spark: SparkSession, main: str, sample_path: str | None = None,
     chosen = path or (sample_path if sample else main)
     df = read_table(spark, chosen, schema)
     if limit:
-        df = df.orderBy(*tx.id_order()).limit(limit)
+        df = positions.first(df, limit)
     return typed_reviews(df)
 
 
