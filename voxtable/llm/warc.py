@@ -238,7 +238,8 @@ def lookup(archive: Archive, keys: DataFrame, key_col: str = "key") -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
                                                  ["key", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-    return blocks.repartition("file", "offset").mapInArrow(
+    # A stated count is not coalesced by size: a block's row is small, the records behind it are not.
+    return blocks.repartition(SHARDS, "file", "offset").mapInArrow(
         fetch, "key string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
 
 
