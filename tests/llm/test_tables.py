@@ -90,6 +90,27 @@ PAGES = [(1, "http://www.B.example.com/x?q=1", "a" * 2000), (2, "https://a.examp
          (2, "https://a.example.com/", "a" * 2000), (None, "http://n.example", "a" * 2000), (10, "http://z.org", "Content-Length: 3\r\n\r\n")]
 
 
+def test_audit_sees_what_small_groups_lost(spark):
+    rng = np.random.default_rng(4)
+    near = lambda v, n: [list(map(float, v + 0.001 * rng.standard_normal(8))) for _ in range(n)]
+    rows = near(rng.standard_normal(8), 60) + [v for _ in range(20) for v in near(rng.standard_normal(8), 2)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    nodes = embedding_dedup.nodes_of(frame, "vec_id", "embedding", "label").cache()
+    links = embedding_dedup.linked(nodes).cache()
+    assert embedding_dedup.audit(nodes, links) == 1.0
+    large = nodes.where("id < 60").select("node")
+    kept = links.join(large.withColumnRenamed("node", "a"), "a", "left_semi")  # the pairs are lost: 20 links of 1790
+    assert 0.4 < embedding_dedup.audit(nodes, kept, sample=400) < 0.8
+    assert embedding_dedup.audit(nodes.limit(0), links.limit(0)) == 1.0
+
+
+def test_recall_that_stays_low_is_told(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(embedding_dedup, "MAX_OVERLAP", 3)
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r["recall"] for r in embedding_dedup.dedup(frame).collect()} == {0.5}
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 2)
     pages = spark.createDataFrame([(*p, "k") for p in PAGES], "page_id long, url string, html string, key string")
@@ -105,6 +126,7 @@ def test_warc(spark, monkeypatch):
     assert sorted((tuple(r[c] for c in order) for r in found), key=str) == sorted(expected, key=str)
     one = warc.lookup(archive, spark.createDataFrame([("com,example,a)/",), ("none)/",)], "key string")).collect()
     assert sorted(r["page_id"] for r in one) == [2, 2, 3, 4]
+    assert warc.lookup(archive, warc.keys_of(pages)).rdd.getNumPartitions() == warc.SHARDS  # few blocks, yet many readers
     none = pages.limit(0)
     assert warc.lookup(warc.write(none), warc.keys_of(none)).collect() == []
 

@@ -30,6 +30,8 @@ COSINE = 0.98
 #: Vectors per centre, and centres altogether at most; they are broadcast.
 PER_CENTRE, MAX_CENTRES = 500, 50_000
 OVERLAP = 3
+#: The widest overlap that a low recall leads to.
+MAX_OVERLAP = 48
 PART = 2000
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 64, 24, 1.2
 BEAM = 24
@@ -194,8 +196,14 @@ def linked(nodes: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
 
 
 def audit(nodes: DataFrame, links: DataFrame, cosine: float = COSINE, sample: int = 200) -> float:
-    """Share of the true links of a bounded sample of nodes that were found; every row is compared with the sample."""
-    asked = nodes.orderBy(F.hash("node", F.lit(2)), "node").limit(sample).select("space", "node", "vector").toArrow()
+    """Share of its true links that was found for a node of a bounded sample, as the mean over the nodes that have
+    any, so that a large group does not hide what a small one lost; 1.0 where none has. Every row is compared with
+    the sample: half of it from all nodes, half from nodes with links, as most nodes may have none.
+    """
+    drawn = [F.hash("node", F.lit(2)), "node"]
+    tied = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = nodes.select("node").orderBy(*drawn).limit(sample // 2).unionByName(tied.orderBy(*drawn).limit(sample - sample // 2)).distinct()
+    asked = nodes.join(F.broadcast(some), "node").select("space", "node", "vector").toArrow()
     spaces, ids = np.array(asked["space"].to_pylist(), object), asked["node"].to_numpy()
     queries = {s: (ids[spaces == s], _matrix(asked.filter(pc.equal(asked["space"], s))["vector"].combine_chunks())) for s in set(spaces)}
 
@@ -212,25 +220,26 @@ def audit(nodes: DataFrame, links: DataFrame, cosine: float = COSINE, sample: in
                         b.append(names[col])
             a, b = np.concatenate(a), np.concatenate(b)
             a, b = a[a != b], b[a != b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(b)], ["a", "b", "asked"])
 
-    true = stored(nodes.select("space", "node", "vector").mapInArrow(fn, "a long, b long").distinct(), "audit")
-    there = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / there if there else 1.0
+    true = stored(nodes.select("space", "node", "vector").mapInArrow(fn, "a long, b long, asked long"), "audit")
+    found = true.join(links.withColumn("there", F.lit(1)), ["a", "b"], "left").groupBy("asked").agg((F.count("there") / F.count("*")).alias("share"))
+    return found.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE,
           least_recall: float = 0.99) -> DataFrame:
-    """One row per row of vectors: the id, n_links, component_id, kept.
+    """One row per row of vectors: the id, n_links, component_id, kept, recall.
 
-    Recall is audited; while it is below least_recall the search is done again with shards that overlap twice as much.
+    Recall is audited; while it is below least_recall the search is done again with shards that overlap twice as much,
+    up to MAX_OVERLAP. ``recall`` is the last audit's share, the same in all rows: it says when the search ended below least_recall.
     """
     rows = stored(nodes_of(vectors, id_col, vector_col, label_col), "vectors")
     nodes = stored(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("id").alias("least"), F.count("*").alias("rows"), F.first("space").alias("space"), F.first("vector").alias("vector")), "nodes")
     overlap = OVERLAP
     links = linked(nodes, cosine, overlap)
-    while audit(nodes, links, cosine) < least_recall and overlap < 48:
+    while (recall := audit(nodes, links, cosine)) < least_recall and overlap < MAX_OVERLAP:
         overlap *= 2
         links = links.unionByName(linked(nodes, cosine, overlap)).distinct()
     sizes = nodes.select("node", "rows")
@@ -245,4 +254,4 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     kind = vectors.schema[id_col].dataType
     return rows.join(of_node, F.col("node") == F.col("own"), "left").select(
         F.col("id").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast(kind).alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"))
+        F.col("id").eqNullSafe(component).alias("kept"), F.lit(recall).alias("recall"))

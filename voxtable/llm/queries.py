@@ -108,7 +108,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
-    return embedding_dedup.dedup(table(spark, folder, "embeddings"))
+    return embedding_dedup.dedup(table(spark, folder, "embeddings")).drop("recall")
 
 
 @query
