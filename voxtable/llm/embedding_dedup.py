@@ -86,23 +86,23 @@ def build(x: np.ndarray, seed: int = 0) -> list[list[int]]:
 
 
 def search(query: np.ndarray, x: np.ndarray, links: list[np.ndarray], start: int, cosine: float) -> np.ndarray:
-    """Rows of x within the range of query: a beam from the start, then all in range are expanded until no more come."""
+    """Rows of x within the range of query: a beam from the start, then all in range are expanded until no more come.
+
+    A step expands all open members of the beam at once, so a search takes a few array operations.
+    """
     seen, open_ = np.zeros(len(x), bool), np.array([start])
     seen[start] = True
     ids, scores, expanded = open_, x[open_] @ query, np.zeros(1, bool)
     while True:
-        wide = scores >= cosine - SLACK
-        todo = ~expanded & wide
-        if not todo.any():
-            rank = np.argsort(-scores, kind="stable")[:BEAM]
-            fresh = rank[~expanded[rank]]
-            if not len(fresh):
+        todo = np.flatnonzero(~expanded & (scores >= cosine - SLACK))
+        if not len(todo):
+            best = np.arange(len(ids)) if len(ids) <= BEAM else np.argpartition(-scores, BEAM - 1)[:BEAM]
+            todo = best[~expanded[best]]
+            if not len(todo):
                 break
-            todo = np.zeros(len(ids), bool)
-            todo[fresh[:4]] = True
-        expanded |= todo
-        new = np.unique(np.concatenate([links[k] for k in ids[todo]]))
-        new = new[~seen[new]]
+        expanded[todo] = True
+        new = np.concatenate([links[k] for k in ids[todo]])
+        new = np.unique(new[~seen[new]])
         if len(new):
             seen[new] = True
             ids, scores = np.concatenate([ids, new]), np.concatenate([scores, x[new] @ query])
