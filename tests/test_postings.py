@@ -57,6 +57,28 @@ def test_counts_of_matching_reviews(spark, corpus):
     assert {r["query_id"]: r["n"] for r in counts.collect()} == plain
 
 
+@pytest.mark.parametrize("union_bytes, most_bits", [(1, 1 << 28), (64, 1 << 28), (1 << 23, 0)])
+def test_counts_by_bits_and_by_pairs(spark, corpus, monkeypatch, union_bytes, most_bits):
+    docs, model, index = corpus
+    monkeypatch.setattr(postings, "UNION_BYTES", union_bytes)
+    monkeypatch.setattr(postings, "MOST_BITS", most_bits)
+    rows = [(k, [f"word{(k * j) % 300}" for j in range(k % 9)]) for k in range(60)] + [(None, ["everywhere"]), (7, ["rarest"])]
+    weights = tfidf.query_weights(spark.createDataFrame(rows, "query_id long, terms array<string>"), model)
+    held = [set(r["terms"]) for r in index.vectors.select(F.col("entries.term").alias("terms")).collect()]
+    terms = {}
+    for r in weights.collect():
+        terms.setdefault(r["query_id"], set()).add(r["term"])
+    expected = {q: n for q, ts in terms.items() if (n := sum(bool(ts & h) for h in held))}
+    assert {r["query_id"]: r["n"] for r in postings.match_counts(index, weights).collect()} == expected
+
+
+def test_counts_carry_no_copy_of_a_review_per_term(spark, corpus):
+    _, model, index = corpus
+    plan = postings.match_counts(index, tfidf.query_weights(spark.createDataFrame(QUERIES, "query_id int, terms array<string>"), model))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text and "array_intersect" not in text
+
+
 def test_blocks_split_a_frequent_term(corpus):
     _, _, index = corpus
     sizes = [r["n"] for r in index.blocks.where("term = 'everywhere'").collect()]
