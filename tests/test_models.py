@@ -331,3 +331,24 @@ def test_folds_by_subtraction_equal_models_fitted_anew(spark):
         anew = probability.log_likelihood(probability.fit(reviews.where(F.col("k") != fold)), reviews.where(F.col("k") == fold)).first()
         assert found[fold]["log_likelihood"] == pytest.approx(anew["log_likelihood"]) and found[fold]["n_rows"] == anew["n_rows"]
         assert found[fold]["n_impossible"] == anew["n_impossible"] == (fold == 1)
+
+def test_training_reads_symbols_in_many_tasks(spark, monkeypatch):
+    """Few bytes of symbols are dealt over the cores, not read by one task in every pass."""
+    rows = [(f"R{i}", [(i // 5 ** j) % 5 for j in range(6)]) for i in range(2000)]
+    seen = []
+    plain = hmm.expected_counts
+    monkeypatch.setattr(hmm, "expected_counts", lambda observed, model: (seen.append(observed.rdd.getNumPartitions()), plain(observed, model))[1])
+    hmm.fit(spark.createDataFrame(rows, "review_id string, symbols array<int>").coalesce(1), max_iter=1)
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_long_sequences_advance_together(monkeypatch):
+    """Segments of many sequences share the steps: their number is that of a segment, not of all long sequences."""
+    import pandas as pd
+
+    calls, plain = [], hmm._segment_sums
+    monkeypatch.setattr(hmm, "_segment_sums", lambda *args: (calls.append(len(args[2])), plain(*args))[1])
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 5, k).astype(np.int32) for k in (1500, 2, 2048, 1100, 4000, 30) * 3]
+    got = next(hmm._expected_counts(*hmm.START[:3])([pd.DataFrame({"symbols": rows, "n": [3] * len(rows)})])).to_numpy()[0]
+    assert len(calls) == 1 and np.allclose(got, 3 * plain_sums(rows, hmm.START), rtol=1e-9, atol=1e-9)
