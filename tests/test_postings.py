@@ -91,3 +91,30 @@ def test_empty_index(spark):
     index = postings.build(postings.vectors(docs, model))
     queries = spark.createDataFrame([(1, ["a1"])], "query_id int, terms array<string>")
     assert postings.retrieve(index, queries, model).collect() == []
+
+
+@pytest.mark.parametrize("k, cells", [(1, 1 << 20), (10, 1), (500, 4000), (5000, 1 << 20)])
+def test_scan_of_vectors_gives_the_rows_of_the_full_join(spark, corpus, monkeypatch, k, cells):
+    docs, model, index = corpus
+    monkeypatch.setattr(postings, "SCAN", -1)
+    monkeypatch.setattr(postings, "DENSE", 0)
+    monkeypatch.setattr(postings, "SLICE", cells)
+    monkeypatch.setattr(postings, "_pruned", None)  # not reached
+    queries = spark.createDataFrame([*QUERIES, (None, ["word9", "rarest"])], "query_id int, terms array<string>")
+    plain = tfidf.transform(docs, model)
+    shown = lambda df: sorted((str(r["query_id"]), r["rank"], r["review_id"], round(r["score"], 9)) for r in df.collect())
+    expected = shown(tfidf.retrieve(plain, queries, model, k))
+    assert shown(postings.retrieve(index, queries, model, k)) == expected
+    assert shown(postings.retrieve_plain(plain, queries, model, k)) == expected
+
+
+def test_scan_hands_on_few_pairs(spark, corpus, monkeypatch):
+    """Of a common word's thousand reviews a task hands on about k, not all."""
+    docs, model, index = corpus
+    monkeypatch.setattr(postings, "SLICE", 1)
+    queries = spark.createDataFrame(QUERIES, "query_id int, terms array<string>")
+    weights = tfidf.query_weights(queries, model).cache()
+    pairs = tfidf.score(tfidf.transform(docs, model), weights).count()
+    assert 60 <= postings.scanned(index.vectors.coalesce(1), weights, 10).count() < 0.2 * pairs
+    monkeypatch.setattr(postings, "MOST_CELLS", 10)
+    assert postings.scanned(index.vectors, weights, 10) is None
