@@ -118,3 +118,20 @@ def test_scan_hands_on_few_pairs(spark, corpus, monkeypatch):
     assert 60 <= postings.scanned(index.vectors.coalesce(1), weights, 10).count() < 0.2 * pairs
     monkeypatch.setattr(postings, "MOST_CELLS", 10)
     assert postings.scanned(index.vectors, weights, 10) is None
+
+
+def test_matched_texts_are_not_moved(spark, monkeypatch):
+    """The texts of all reviews meet the ranked ids where they lie."""
+    from voxtable.plans.catalogue import searching
+
+    monkeypatch.setattr(searching, "ranked_of", lambda d: spark.createDataFrame([(1, "R000001", 1, 0.5), (2, "R000001", 1, 0.4), (2, "R000009", 2, 0.3)],
+                                                                                "query_id long, review_id string, rank int, score double"))
+
+    class Few:
+        reviews = spark.createDataFrame([(f"R{k:06d}", f"Thon text{k} que") for k in range(20)], "review_id string, text string")
+        query_terms = spark.createDataFrame([(1, ["thon", "text2"]), (2, ["text9", "que"])], "query_id long, terms array<string>")
+
+    matched = searching.matched_of(Few)
+    assert not [line for line in exchanges(matched) if "review_id" in line]
+    assert {(r["query_id"], r["review_id"], tuple(r["matching_terms"])) for r in matched.collect()} == {
+        (1, "R000001", ("thon",)), (2, "R000001", ("que",)), (2, "R000009", ("text9", "que"))}
