@@ -135,3 +135,16 @@ def test_matched_texts_are_not_moved(spark, monkeypatch):
     assert not [line for line in exchanges(matched) if "review_id" in line]
     assert {(r["query_id"], r["review_id"], tuple(r["matching_terms"])) for r in matched.collect()} == {
         (1, "R000001", ("thon",)), (2, "R000001", ("que",)), (2, "R000009", ("text9", "que"))}
+
+
+@pytest.mark.parametrize("most_bits, twice", [(1 << 28, False), (1 << 28, True), (0, False), (0, True)])
+def test_repeated_ids_count_by_their_first_term(spark, monkeypatch, most_bits, twice):
+    monkeypatch.setattr(postings, "MOST_BITS", most_bits)
+    docs = spark.createDataFrame([("a", "fox owl"), ("a", "fox cat"), ("b", "owl owl"), ("c", "cat fox"), ("c", "cat fox"), (None, "owl"), ("d", "elk")], "review_id string, text string")
+    model = tfidf.fit(docs)
+    index = postings.build(postings.vectors(docs, model))
+    asked = [(1, ["fox", "owl"]), (2, ["cat"]), (3, ["owl", "cat"]), (4, ["yak"])]
+    weights = tfidf.query_weights(spark.createDataFrame(asked + asked[:2] * twice, "query_id int, terms array<string>"), model)
+    # 1: fox twice in a, owl in b, fox twice in c, owl without an id; 2: cat in a, twice in c; 3: cat in a, owl in b, cat twice in c, owl
+    times = 2 if twice else 1
+    assert {r["query_id"]: r["n"] for r in postings.match_counts(index, weights).collect()} == {1: 6 * times, 2: 3 * times, 3: 5}
