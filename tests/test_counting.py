@@ -27,8 +27,9 @@ def test_totals_equal_those_of_the_expressions(docs, monkeypatch):
 def test_weights_equal_those_of_the_join(docs):
     model = tfidf.fit(docs, 25)
     large = model._replace(max_features=10**6)  # too many for the tasks: the terms are joined
-    flat = lambda m: sorted((r[0] or "", r[1], round(r[2], 9)) for r in tfidf.transform(docs, m).collect())
-    assert flat(model) == flat(large) and flat(model)
+    flat = lambda m: sorted((r[0] or "", r[1], round(r[2], 9)) for r in tfidf.transform(docs, m, packed=True).collect())
+    plain = sorted((r[0] or "", r[1], round(r[2], 9)) for r in tfidf.transform(docs, model).collect())
+    assert flat(model) == flat(large) == plain and plain
     held = lambda m: sorted((r[0] or "", sorted((e["term"], round(e["weight"], 9)) for e in r[1])) for r in postings.vectors(docs, m).collect())
     assert held(model) == held(large)
     best = lambda m: [(r[0], round(r[1], 9)) for r in tfidf.retrieve_one(docs, ["fast", "café"], m, 50).collect()]
@@ -46,6 +47,6 @@ def test_class_scores_equal_those_of_the_join(docs):
 def test_the_text_is_not_matched_word_by_word(docs):
     """Counting takes no regular expression and no lambda a word: before, each pass over the text did."""
     model = tfidf.fit(docs, 25)
-    for df in (tfidf.transform(docs, model), postings.vectors(docs, model).select("review_id"), tfidf.retrieve_one(docs, ["fast"], model, 5)):
+    for df in (tfidf.transform(docs, model, packed=True), postings.vectors(docs, model).select("review_id"), tfidf.retrieve_one(docs, ["fast"], model, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "regexp_extract_all" not in plan
