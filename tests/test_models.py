@@ -352,3 +352,31 @@ def test_long_sequences_advance_together(monkeypatch):
     rows = [rng.integers(0, 5, k).astype(np.int32) for k in (1500, 2, 2048, 1100, 4000, 30) * 3]
     got = next(hmm._expected_counts(*hmm.START[:3])([pd.DataFrame({"symbols": rows, "n": [3] * len(rows)})])).to_numpy()[0]
     assert len(calls) == 1 and np.allclose(got, 3 * plain_sums(rows, hmm.START), rtol=1e-9, atol=1e-9)
+
+
+def test_packed_sequences_give_the_sums_of_plain_ones(spark, monkeypatch):
+    """A pass over stored groups steps over blocks of symbols, each kind of block once; borders of blocks, segments and groups, weights."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 5, k).astype(np.int32) for k in (2, 7, 8, 9, 16, 127, 128, 129, 700, 3, 8, 8)]
+    batch = pa.record_batch([pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), pa.array([3] * len(rows))], ["symbols", "n"])
+    want = 3 * plain_sums(rows, hmm.START)
+    df = spark.createDataFrame([(r.tolist(), 3) for r in rows], "symbols array<int>, n long").repartition(2)
+    assert np.allclose(list(hmm.expected_counts(hmm.packed(df), hmm.START).first()), want, rtol=1e-9, atol=1e-9)
+    for size, groups in ((1 << 20, 1), (130, 5)):
+        monkeypatch.setattr(hmm, "GROUP", size)
+        stored = list(hmm._pack([batch.slice(0, 5), batch.slice(5)]))
+        got = next(hmm._packed_counts(*hmm.START[:3])(stored)).to_pandas().to_numpy()[0]
+        assert len(stored) == groups and np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    same = hmm._packed(np.zeros(8 * 1000, np.int32), np.full(500, 16))
+    assert len(same[0]) == 2 and len(same[1]) == 1000
+
+
+def test_training_stores_packed_sequences(spark, monkeypatch):
+    """What a pass reads is a row a group, not an array a sequence."""
+    rows = [(f"R{i}", [(i // 5 ** j) % 5 for j in range(6)]) for i in range(2000)]
+    seen, plain = [], hmm.expected_counts
+    monkeypatch.setattr(hmm, "expected_counts", lambda observed, model: (seen.append(observed.count()), plain(observed, model))[1])
+    hmm.fit(spark.createDataFrame(rows, "review_id string, symbols array<int>"), max_iter=1)
+    assert seen == [spark.sparkContext.defaultParallelism]
