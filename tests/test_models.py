@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.functions import lexicons as lex
+from voxtable.functions import lexicons as lex, text as tx
 from voxtable.operators import classifier, hmm, probability, sentiment, tfidf
 from voxtable.plans import analyze, prepare
 from voxtable.sources import models, sinks, stage
@@ -380,3 +380,49 @@ def test_training_stores_packed_sequences(spark, monkeypatch):
     monkeypatch.setattr(hmm, "expected_counts", lambda observed, model: (seen.append(observed.count()), plain(observed, model))[1])
     hmm.fit(spark.createDataFrame(rows, "review_id string, symbols array<int>"), max_iter=1)
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_sentence_sums_equal_those_of_the_join(spark, monkeypatch):
+    """Words are valued in Arrow batches without a row a word; null, empty and repeated rows, odd characters, many polarity rows a word."""
+    rng = random.Random(6)
+    bits = ["good", "Bad", "not", "never", "very", "slightly", "don't", "'", "!", "!!", "ΣΑΣ", "x\u0301good", "awful!", "isn't", "good,bad", "the"]
+    sentence = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+    rows = [(rng.choice([None, *map(str, range(150))]), None if rng.random() < 0.05 else [sentence() for _ in range(rng.randint(0, 5))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "review_id string, sentences array<string>").repartition(3)
+    words = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("good", 0.5), (None, 1.0), ("awful", None), ("don't", -0.3), ("σας", 1.0)], "word string, valence double")
+    arrays = lambda: sorted((str(r[0]), [round(x, 9) for x in r[1]], r[2]) for r in sentiment.observations(df, words).collect())
+    each = lambda: sorted((str(r[0]), r[1], round(r[2], 9)) for r in sentiment.sentence_polarity(df, words).collect())
+    plan = sentiment.observations(df, words)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan and "Join" not in plan
+    monkeypatch.setattr(sentiment.counting, "SLICE", 16)
+    got = arrays(), each()
+    monkeypatch.setattr(sentiment, "BROADCAST_ROWS", 2)  # too many words for a task: joined
+    assert got == (arrays(), each()) and len(got[0]) > 50 and any(x for _, xs, _ in got[0] for x in xs)
+
+
+def test_only_candidates_are_split_and_stored_once(spark, monkeypatch):
+    """A computed ``sentences`` column is worked out for the reviews that a query found, and two queries share a review's text."""
+    rows = [(str(i), f"Sync hangs for the {i} time. It is bad." if i < 3 else f"Menus {i} are clean.", 1 + i % 5, "performance" if i < 3 else "usability") for i in range(20)]
+    reviews = spark.createDataFrame(rows, "review_id string, text string, rating int, label string")
+    index = tfidf.fit(reviews)
+    kit = analyze.Models(index, tfidf.transform(reviews, index), classifier.fit(reviews), None, None)
+    queries = spark.createDataFrame([(1, "sync hangs"), (2, "hangs time")], "query_id int, query string")
+    stored, plain = {}, analyze.materialize
+    monkeypatch.setattr(analyze, "materialize", lambda df, name: (stored.setdefault(name, df), plain(df, name))[1])
+    lazy = spark.createDataFrame(rows, "review_id string, text string, rating int, label string").withColumn("sentences", tx.sentences("text"))
+    out = analyze.analyze(queries, lazy, kit, top_k=10)
+    assert stored["candidates"].count() == 3 and out.candidates.count() == 6 and out.sequences.count() == out.analysed.count()
+    assert {tuple(r["sentences"]) for r in out.sequences.where("review_id = '0'").collect()} == {("Sync hangs for the 0 time.", "It is bad.")}
+    plan = stored["candidates"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("LeftSemi")  # the join lies below
+
+
+def test_training_counts_the_index_in_batches(spark, folder, monkeypatch):
+    rows = [(f"R{i}", "Sync hangs. It is bad." if i % 2 else "Menus are clean. They are good.", 3, "performance" if i % 2 else "usability") for i in range(8)]
+    corpus = spark.createDataFrame(rows, "review_id string, text string, rating int, topic_label string").withColumn("sentences", tx.sentences("text"))
+    seen, plain = [], tfidf.transform
+    monkeypatch.setattr(tfidf, "transform", lambda *a, **b: (seen.append(b.get("packed")), plain(*a, **b))[1])
+    from voxtable.plans import train
+
+    assert train.train_all(spark, corpus, corpus, folder, hmm_iterations=2).count() == 4
+    assert seen and all(seen) and models.load_postings(spark, f"{folder}/tfidf").count() == plain(corpus, models.load_tfidf(spark, f"{folder}/tfidf")).count()
