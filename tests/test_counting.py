@@ -50,3 +50,40 @@ def test_the_text_is_not_matched_word_by_word(docs):
     for df in (tfidf.transform(docs, model, packed=True), postings.vectors(docs, model).select("review_id"), tfidf.retrieve_one(docs, ["fast"], model, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+
+
+def test_weights_of_single_ids_are_not_shuffled(spark, docs):
+    model = tfidf.fit(docs, 25)
+    single = spark.createDataFrame([(f"R{i}", t) for i, t in enumerate(TEXTS)], "review_id string, text string").repartition(3)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    assert "ObjectHashAggregate" not in plan(tfidf.transform(single, model, packed=True)) and "ObjectHashAggregate" in plan(tfidf.transform(docs, model, packed=True))
+    assert shown(tfidf.transform(single, model, packed=True)) == shown(tfidf.transform(single, model)) != []
+
+
+def test_scores_of_numbered_terms_equal_those_of_named_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    matrix, terms = np.array([[1.0, 0.0], [0.5, 2.0]]), ["a", "b"]
+    lists = [["a", "b"], [], ["b"]]
+    batch = lambda xs, kind: pa.record_batch([pa.array(["x", "y", "z"]), pa.array(xs, pa.list_(kind)), pa.array([[0.1 * (i + 1) for i in range(len(l))] for l in lists])], ["r", "t", "w"])
+    named = list(postings._best_scores(terms, matrix, 5)([batch(lists, pa.string())]))
+    assert list(postings._best_scores(terms, matrix, 5)([batch([[terms.index(t) for t in l] for l in lists], pa.int32())])) == named and named[0].num_rows == 4
+
+
+def test_corpus_words_are_counted_once(spark, folder):
+    """Term cache and synonyms read one stored count, without a row a word of the texts."""
+    from voxtable.plans.catalogue.base import Tables
+
+    texts = ["Thon thing thonk thon, Thing_x über 12", "thonk thon and THE thingy", None, "", "the thing thonk"]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "thon things")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    d = Tables(spark, folder)
+    plain = d.reviews.select(F.explode(F.array_distinct(tx.search_tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    assert {tuple(r) for r in d.term_cache.collect()} == {(r["term"], r["df"] % 2 == 0) for r in plain.collect() if r["df"] > 1} != set()
+    counts = {r[0]: r[1] for r in d.reviews.select(F.explode(tx.latin_words("text", 4)).alias("w")).groupBy("w").count().collect()}
+    ranked = {f: sorted((w for w in counts if w[:4] == f), key=lambda w: (-counts[w], w))[:6] for f in {w[:4] for w in counts}}
+    expected = {(w, s, i) for w in ("thon", "things") for i, s in enumerate(ranked[w[:4]], 1)}
+    assert {tuple(r) for r in d.synonyms.collect()} == expected and len(expected) > 3
+    assert "MapInArrow" not in d.synonyms._jdf.queryExecution().executedPlan().toString()
