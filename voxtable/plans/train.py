@@ -20,7 +20,7 @@ def train_all(spark: SparkSession, corpus: DataFrame, labeled: DataFrame, root:
     vocabulary_size = index.vocabulary.count()
     meta = models.metadata_row(spark, "TF-IDF", source, index.n_docs, {"max_features": index.max_features, "ngram_range": [1, 2]},
                                {"vocabulary_size": vocabulary_size})
-    models.save_tfidf(index, f"{root}/tfidf", meta, tfidf.transform(corpus, index) if with_index else None)
+    models.save_tfidf(index, f"{root}/tfidf", meta, tfidf.transform(corpus, index, packed=True) if with_index else None)
 
     nb = classifier.fit(labeled, label="topic_label")
     summary = classifier.fit_summary(nb).first()
