@@ -426,3 +426,14 @@ def test_training_counts_the_index_in_batches(spark, folder, monkeypatch):
 
     assert train.train_all(spark, corpus, corpus, folder, hmm_iterations=2).count() == 4
     assert seen and all(seen) and models.load_postings(spark, f"{folder}/tfidf").count() == plain(corpus, models.load_tfidf(spark, f"{folder}/tfidf")).count()
+
+
+def test_labels_are_worked_out_once_for_a_fit(spark, monkeypatch):
+    from voxtable.operators import counting
+
+    docs = spark.createDataFrame([("a", "app crashes slow"), ("b", "easy interface simple")], "review_id string, text string")
+    labeled = docs.withColumn("label", F.when(F.contains("text", F.lit("slow")), "performance").otherwise("usability"))
+    plans, plain = [], counting.word_totals
+    monkeypatch.setattr(counting, "word_totals", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, *a))[1])
+    model = classifier.fit(labeled)
+    assert len(plans) == 1 and "CASE WHEN" not in plans[0] and model.tfidf.n_docs == 2

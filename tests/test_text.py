@@ -87,3 +87,18 @@ def test_ids_and_stars(spark):
     row = spark.range(1).select(tx.formatted_id(F.lit(42)).alias("a"), tx.formatted_id(F.lit(12345678)).alias("b"),
                                 tx.rating_stars(F.lit(2)).alias("s")).first()
     assert (row["a"], row["b"], row["s"]) == ("R000042", "R12345678", "★★☆☆☆")
+
+
+def test_sentences_take_no_pattern_for_white_space_and_plain_texts(spark):
+    """Ends are trimmed without a pattern, and the pattern of abbreviations runs only where one occurs; the same sentences as by patterns."""
+    texts = ["\u3000 Dr. No came.\x85 He left!\x1e\x1d \n", "St.Mr. x etc. y.", " \t\u2029", "Plain text. More \u200b text?  \r\n", "", None, "\x00a. b", "No abbreviation here.) Yes."]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    strip = lambda c: F.regexp_replace(c, f"^{tx.SPACE}+|{tx.SPACE}+$", "")
+    t = F.translate("text", tx.SENTENCE_END + tx.KEPT_DOT, "  ")
+    t = F.regexp_replace(t, f"(^|[^{tx.WORD_CHARS}])({'|'.join(lex.ABBREVIATIONS)})\\.", f"$1$2{tx.KEPT_DOT}")
+    t = F.regexp_replace(t, f"([.!?][\"')\\]]*){tx.SPACE}+", f"$1{tx.SENTENCE_END}")
+    plain = F.filter(F.transform(F.split(t, tx.SENTENCE_END), lambda s: strip(F.translate(s, tx.KEPT_DOT, "."))), lambda s: s != "")
+    rows = df.select(tx.sentences("text").alias("a"), plain.alias("b"), tx.strip("text").alias("c"), strip("text").alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows) and max(len(r["a"] or []) for r in rows) == 2
+    plan = df.select(tx.strip("text"), tx.is_blank("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
